@@ -1,0 +1,38 @@
+"""Small reference tables (benchmark items, licence templates) against all documents, in blocks of bounded size.
+
+The reference table goes to the workers block by block; a block never holds more than a bounded number of bytes
+(a single longer item is a block of its own), whatever the table's size. Documents are scanned once for each block.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Most bytes of reference text that a block carries to the workers.
+BLOCK_BYTES = 4 << 20
+
+
+def blocks(table: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
+    """(id, text) of all items with a text, in blocks. Items are dealt by a hash of id and text into as many blocks as their bytes need."""
+    table = table.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
+    total = table.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-2 * total // most)) if total > most else 1  # twice as many as needed, so that uneven dealing stays below
+    for k in range(n):
+        part = table.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else table
+        yield from _cut([(r["i"], r["t"]) for r in part.collect()], most)
+
+
+def _cut(rows: list[tuple], most: int) -> Iterator[list[tuple]]:
+    out, size = [], 0
+    for row in sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1])):
+        n = len(row[1].encode())
+        if out and size + n > most:
+            yield out
+            out, size = [], 0
+        out.append(row)
+        size += n
+    if out:
+        yield out
