@@ -111,3 +111,14 @@ def _head(rows: DataFrame, only_fitting: bool = False) -> DataFrame:
     done = F.col("start") + F.sum(F.when(edge, F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     head = inside | (edge & (2 * done + F.col("size") <= 2 * F.col("left")))
     return rows.withColumn("more", F.coalesce(head, F.lit(False)).cast("long")).drop("left", "able", "upto", "start")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mix itself: every document as many times as it has copies, with all its columns. Rows that agree in id, source and size share their copies evenly."""
+    found = mix(docs, id_col, text_col, source_col, **settings)
+    found = found.groupBy("id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("__copies"))
+    found = written(found.filter("__copies > 0").select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies"), "mix-copies")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (size == F.col("__size"))
+    out = docs.join(found, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm import compression, licenses, mixing, sharding, tiling, urls
+from lumenq.llm import compression, licenses, lm, mixing, ngramjoin, packing, passages, sharding, tiling, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.scores(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_and_digest(_table(spark, sf_dir, "documents"), str(tokenizer_path))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +48,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(_table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngramjoin.join(_table(spark, sf_dir, "documents"), settings=ngramjoin.Settings(words=3, percent=90))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lm.train(docs.filter(~lm.held_out("doc_id")).select("text"))
+    return lm.scores(docs, model)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -102,7 +125,7 @@ SELECT id AS doc_id, size, source_size, target, (certain + more1 + more2) * size
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_decontamination, op5_url_filter, op6_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_token_output, op4_decontamination, op5_url_filter, op6_mixing, op7_substring_dedup, op8_ngram_join, op9_language_model, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
