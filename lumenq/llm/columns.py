@@ -42,3 +42,22 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = shared_path(frame.sparkSession, name)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that only one operator reads; clear() removes them once its result is written."""
+
+    def __init__(self, spark, name: str):
+        self.spark, self.root = spark, shared_path(spark, name)
+
+    def written(self, frame: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        frame.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def clear(self, *names: str) -> None:
+        """The named tables, or all."""
+        jvm = self.spark._jvm
+        for path in [f"{self.root}/{n}" for n in names] or [self.root]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

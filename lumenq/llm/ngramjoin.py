@@ -4,11 +4,12 @@ A document is the set of its distinct word n-grams, as 64-bit hashes in one glob
 have come last, others by hash. Two sets with a Jaccard index of at least t must share an element among their first
 n - ceil(t n) + 1, their prefixes. So:
 
-1. N-grams that many documents have near the head of their order are counted over all documents and put last, or else
-   a common passage would make candidates of all documents that have it.
+1. N-grams that many documents have near the head of their order are counted over all documents, then all n-grams of
+   the documents that have such ones; the frequent ones are put last, or else a common passage would make candidates
+   of all documents that have it.
 2. Equal sets are one class, named by its smallest document id; classes of equal prefix and size are one group.
-3. Every group is paired with the smallest group of nearly its size under each prefix n-gram (a star, so a large
-   family of copies costs one pair each), every class with the first of its group. Pairs that pass the size and
+3. Every group is paired with one group of nearly its size under each prefix n-gram, the one with most frequent n-grams
+   (a star, so a large family of copies costs one pair each), every class with the first of its group. Pairs that pass the size and
    prefix bounds are verified on their whole sets; connected components join what is linked.
 4. Groups are split by component. What is still apart and shares a prefix n-gram is paired in full, bounded, expanded
    to classes and verified; then components are joined once more. Pairs within one component need no check, so the
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.llm import wordscan as W
-from lumenq.llm.columns import shared_path, written
+from lumenq.llm.columns import Scratch, shared_path
+from lumenq.llm.columns import written as _kept
 from lumenq.llm.graph import components
 from lumenq.llm.store import get_array, put_array
 
@@ -70,15 +72,33 @@ def _sets(column: pa.Array, words: int):
                 yield np.zeros(0, dtype=np.int64)
 
 
-def _count_heads(texts: DataFrame, s: Settings) -> DataFrame:
-    """How many documents have an n-gram among the first half more than a prefix; only frequent ones."""
+def _head(n: int, s: Settings) -> int:
+    """A prefix and half of one more: where frequent n-grams are looked for first."""
+    k = prefix_size(n, s.percent)
+    return k + k // 2 + 8
+
+
+def _frequent(texts: DataFrame, s: Settings, known: Frequent | None = None) -> DataFrame:
+    """n-grams that more than s.frequent documents have: among the heads of all documents, or with known, among the whole sets of those documents whose heads hold a known one."""
 
     def count(batches):
         for batch in batches:
-            parts = [own[: (k := prefix_size(len(own), s.percent)) + k // 2 + 8] for own in _sets(batch.column(0), s.words) if len(own)]
+            parts, size = [], 0
+            for own in _sets(batch.column(0), s.words):
+                if known is None:
+                    parts.append(own[: _head(len(own), s)])
+                elif len(own) and known.find(own)[: _head(len(own), s)].any():
+                    parts.append(own)
+                size += len(parts[-1]) if parts else 0
+                if size > 500_000:
+                    yield counted(parts)
+                    parts, size = [], 0
             if parts:
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["g", "n"])
+                yield counted(parts)
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["g", "n"])
 
     counts = texts.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     return counts.filter(F.col("n") > s.frequent).select("g")
@@ -112,7 +132,7 @@ class Frequent:
 
 
 def _store_frequent(found: DataFrame) -> Frequent:
-    found = written(found, "ngram-frequent")
+    """found is written already."""
     bits = (found.count() // 2_000_000).bit_length()
     where = Frequent(shared_path(found.sparkSession, "ngram-last"), bits)
     shard = F.shiftright("g", 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0)
@@ -127,7 +147,7 @@ def _store_frequent(found: DataFrame) -> Frequent:
             put_array(f"{where.path}/{k}", np.sort(np.concatenate(own)))
             yield pa.RecordBatch.from_arrays([pa.array([k])], names=["k"])
 
-    written(found.select(shard.cast("long").alias("k"), "g").repartition(1 << bits, "k").mapInArrow(write, "k long"), "ngram-ranges").count()
+    _kept(found.select(shard.cast("long").alias("k"), "g").repartition(1 << bits, "k").mapInArrow(write, "k long"), "ngram-ranges")
     return where
 
 
@@ -138,21 +158,23 @@ def _mixed_sums(own: np.ndarray) -> tuple[int, int]:
 
 
 def _documents(docs: DataFrame, s: Settings, last: Frequent) -> DataFrame:
-    """id, set size n, set fingerprint (f1, f2), prefix in the global order and its fingerprint (p1, p2)."""
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n long, f1 long, f2 long, prefix array<long>, p1 long, p2 long").fields])
+    """id, set size n, set fingerprint (f1, f2), share of frequent n-grams, prefix in the global order and its fingerprint (p1, p2)."""
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n long, f1 long, f2 long, common double, prefix array<long>, p1 long, p2 long").fields])
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def describe(batches):
         for batch in batches:
             rows = []
             for own in _sets(batch.column(1), s.words):
                 if not len(own):
-                    rows.append((0, 0, 0, [], 0, 0))
+                    rows.append((0, 0, 0, 0.0, [], 0, 0))
                     continue
                 late = last.find(own)
                 prefix = np.concatenate([own[~late], own[late]])[: prefix_size(len(own), s.percent)]
-                rows.append((len(own), *_mixed_sums(own), prefix, *_mixed_sums(prefix)))
+                rows.append((len(own), *_mixed_sums(own), float(late.mean()), prefix, *_mixed_sums(prefix)))
             if rows:
-                arrays = [batch.column(0), *[pa.array(x, type=pa.list_(pa.int64()) if i == 3 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))]]
+                arrays = [batch.column(0), *[pa.array(x, type=k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
     return docs.select("id", "t").mapInArrow(describe, schema)
@@ -167,6 +189,13 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100.0 + percent) - 1e-6)
 
 
+def _can_meet(n1: str, at1: str, n2: str, at2: str, s: Settings) -> Column:
+    """Two sets of these sizes that share an n-gram at these places, as their first: what follows must still suffice."""
+    n1, at1, n2, at2 = (F.col(x) for x in (n1, at1, n2, at2))
+    least = _least_overlap(n1, n2, s.percent)
+    return _sizes_fit(n1, n2, s.percent) & (n1 - at1 >= least) & (n2 - at2 >= least)
+
+
 def _bounded(pairs: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     """Group pairs (a, b) that can still be similar: beyond their prefixes they share at most the longer rest, within them what the prefixes share."""
     one = groups.select(F.col("gid").alias("a"), F.col("n").alias("an"), F.col("prefix").alias("ap"))
@@ -177,17 +206,17 @@ def _bounded(pairs: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     return rows.filter(common + rest >= _least_overlap(F.col("an"), F.col("bn"), s.percent)).select(*pairs.columns)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch, name: str) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets are similar enough."""
-    pairs = written(pairs.distinct(), "ngram-pairs")
-    wanted = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ngram-wanted")
+    pairs = scratch.written(pairs.distinct(), f"{name}-pairs")
+    wanted = scratch.written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-wanted")
     schema = T.StructType([docs.schema["id"], T.StructField("s", T.BinaryType())])
 
     def build(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _sets(batch.column(1), s.words)], type=pa.binary())], names=["id", "s"])
 
-    sets = written(docs.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(build, schema), "ngram-sets")
+    sets = scratch.written(docs.join(wanted, "id", "left_semi").select("id", "t").mapInArrow(build, schema), f"{name}-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def compare(batches):
@@ -205,56 +234,69 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row for each document: id, n_shingles, class_id (the smallest id with an equal set) and component_id (the smallest id that links reach)."""
-    s = settings
+    s, scratch = settings, Scratch(docs.sparkSession, "ngrams")
+    written = scratch.written
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    last = _store_frequent(_count_heads(docs.select("t"), s))
-    described = written(_documents(docs, s, last), "ngram-documents")
+    heads = written(_frequent(docs.select("t"), s), "frequent-heads")
+    every = written(heads.unionByName(_frequent(docs.select("t"), s, _store_frequent(heads))).distinct(), "frequent")
+    described = written(_documents(docs, s, _store_frequent(every)), "documents")
     full = described.filter("n > 0 AND id IS NOT NULL")
-    classes = written(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("cls")), "ngram-classes")
-    reps = full.select(F.col("id").alias("cls"), "n", "f1", "f2", "prefix", "p1", "p2").join(classes, ["cls", "n", "f1", "f2"], "left_semi").dropDuplicates(["cls", "n", "f1", "f2"])
-    reps = written(reps, "ngram-reps")
-    first = reps.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid"))
-    grouped = written(reps.select("cls", "n", "p1", "p2").join(written(first, "ngram-first"), ["n", "p1", "p2"]), "ngram-grouped")
-    groups = written(reps.withColumnRenamed("cls", "gid").join(first, ["gid", "n", "p1", "p2"], "left_semi").dropDuplicates(["gid", "n", "p1", "p2"]).select("gid", "n", "prefix"), "ngram-groups")
+    classes = written(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("cls")), "classes")
+    reps = full.select(F.col("id").alias("cls"), "n", "f1", "f2", "common", "prefix", "p1", "p2").join(classes, ["cls", "n", "f1", "f2"], "left_semi").dropDuplicates(["cls", "n", "f1", "f2"])
+    reps = written(reps, "reps")
+    first = written(reps.groupBy("n", "p1", "p2").agg(F.min(F.struct(-F.col("common"), F.col("cls"))).alias("m")).select("n", "p1", "p2", F.col("m.cls").alias("gid")), "first")
+    grouped = written(reps.select("cls", "n", "p1", "p2").join(first, ["n", "p1", "p2"]), "grouped")
+    groups = reps.withColumnRenamed("cls", "gid").join(first, ["gid", "n", "p1", "p2"], "left_semi").dropDuplicates(["gid", "n", "p1", "p2"])
+    groups = written(groups.select("gid", "n", "common", "prefix"), "groups")
     members = grouped.select("gid", "cls", "n").distinct()
-    tokens = groups.select("gid", "n", F.explode("prefix").alias("g"))
-    shared = written(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g"), "ngram-shared")
-    tokens = written(tokens.join(shared, "g"), "ngram-tokens")
-    # the star: sizes in one band differ by less than the threshold allows
+    tokens = groups.select("gid", "n", "common", F.posexplode("prefix").alias("at", "g"))
+    # n-grams of one group are of no use, nor is one that lies too far back for the smallest partner that it could meet
+    shared = written(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1").select("g", "least"), "shared")
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * s.percent / 100.0))
+    tokens = written(tokens.join(shared, "g").filter(F.col("at") <= F.col("n") - _least_overlap(F.col("n"), smallest, s.percent)).drop("least"), "tokens")
+    # the star around the group of most frequent n-grams, which in a family of copies is the one most like the others
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / s.percent)) + 1e-9)).cast("int")
     banded = tokens.withColumn("band", band)
-    heads = written(banded.groupBy("g", "band").agg(F.min("gid").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "ngram-heads")
-    star = banded.join(heads, ["g", "band"]).filter("gid != a").select("a", F.col("gid").alias("b")).distinct()
-    links = _bounded(star, groups, s).unionByName(members.filter("cls != gid").select(F.col("gid").alias("a"), F.col("cls").alias("b")))
-    links = written(_verified(links, docs, s), "ngram-links")
-    same = written(components(links, "a", "b"), "ngram-components")
+    heads = banded.groupBy("g", "band").agg(F.min(F.struct(-F.col("common"), F.col("gid"), F.col("n"), F.col("at"))).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    heads = written(heads.select("g", "band", F.col("m.gid").alias("a"), F.col("m.n").alias("an"), F.col("m.at").alias("aat")), "heads")
+    star = banded.join(heads, ["g", "band"]).filter(F.col("gid") != F.col("a")).filter(_can_meet("an", "aat", "n", "at", s)).select("a", F.col("gid").alias("b")).distinct()
+    links = _bounded(written(star, "star"), groups, s).unionByName(members.filter("cls != gid").select(F.col("gid").alias("a"), F.col("cls").alias("b")))
+    links = written(_verified(links, docs, s, scratch, "star"), "links")
+    scratch.clear("star-sets", "star-pairs", "heads")
+    same = written(components(links, "a", "b"), "same")
     # what is still apart
-    split = members.join(same, members["cls"] == same["node"], "left").select("gid", "cls", "n", F.coalesce("component", "cls").alias("c"))
-    split = written(split, "ngram-split")
-    parts = tokens.join(split.select("gid", "n", "c").distinct(), ["gid", "n"])
-    mixed = parts.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g")
-    parts = written(parts.join(written(mixed, "ngram-mixed"), "g", "left_semi"), "ngram-parts")
+    split = members.join(same, F.col("cls") == F.col("node"), "left").select("gid", "cls", "n", F.coalesce("component", "cls").alias("c"))
+    split = written(split, "split")
+    parts = tokens.drop("common").join(split.select("gid", "n", "c").distinct(), ["gid", "n"])
+    mixed = written(parts.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g"), "mixed")
+    parts = written(parts.join(mixed, "g", "left_semi"), "parts")
     # between components first, so that pairs within one are never formed
-    apart = parts.groupBy("g", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    one, two = (apart.select("g", *[F.col(x).alias(f"{x}{k}") for x in ("c", "lo", "hi")]) for k in (1, 2))
+    apart = parts.groupBy("g", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("at") - F.col("n")).alias("slack"))
+    one, two = (apart.select("g", *[F.col(x).alias(f"{x}{k}") for x in ("c", "lo", "hi", "slack")]) for k in (1, 2))
     reach = (F.col("hi1") * 100 >= F.col("lo2") * s.percent) & (F.col("hi2") * 100 >= F.col("lo1") * s.percent)
+    least = _least_overlap(F.col("lo1"), F.col("lo2"), s.percent)
+    reach &= (-F.col("slack1") >= least) & (-F.col("slack2") >= least)
     between = one.join(two, "g").filter((F.col("c1") < F.col("c2")) & reach).select("g", "c1", "c2")
-    left, right = (parts.select("g", F.col("c").alias(f"c{k}"), F.col("gid").alias(x), F.col("n").alias(f"n{k}")) for k, x in ((1, "a"), (2, "b")))
-    pairs = between.join(left, ["g", "c1"]).join(right, ["g", "c2"]).filter(_sizes_fit(F.col("n1"), F.col("n2"), s.percent)).select("a", "c1", "b", "c2").distinct()
-    pairs = _bounded(written(pairs, "ngram-between"), groups, s)
+    left, right = (parts.select("g", F.col("c").alias(f"c{k}"), F.col("gid").alias(x), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k, x in ((1, "a"), (2, "b")))
+    pairs = between.join(left, ["g", "c1"]).join(right, ["g", "c2"]).filter(_can_meet("n1", "at1", "n2", "at2", s)).select("a", "c1", "b", "c2").distinct()
+    pairs = _bounded(written(pairs, "between"), groups, s)
     expand = [split.select(F.col("gid").alias(x), F.col("c").alias(f"c{k}"), F.col("cls").alias(f"m{k}")) for k, x in ((1, "a"), (2, "b"))]
     more = pairs.join(expand[0], ["a", "c1"]).join(expand[1], ["b", "c2"]).select(F.col("m1").alias("a"), F.col("m2").alias("b"))
-    links = written(links.unionByName(_verified(more, docs, s)), "ngram-all-links")
-    same = written(components(links, "a", "b"), "ngram-result")
-    named = written(classes.join(same, classes["cls"] == same["node"], "left").select("n", "f1", "f2", "cls", F.coalesce("component", "cls").alias("component")), "ngram-named")
+    links = written(links.unionByName(_verified(more, docs, s, scratch, "more")), "all-links")
+    same = written(components(links, "a", "b"), "result")
+    named = classes.join(same, F.col("cls") == F.col("node"), "left").select("n", "f1", "f2", "cls", F.coalesce("component", "cls").alias("component"))
+    named = written(named, "named")
     rows = described.select("id", "n", "f1", "f2")
     apart = (F.col("n") == 0) | F.col("id").isNull()
     alone = rows.filter(apart).select("id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
-    return rows.filter(~apart).join(named, ["n", "f1", "f2"]).select("id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.col("component").alias("component_id")).unionByName(alone)
+    out = rows.filter(~apart).join(named, ["n", "f1", "f2"]).select("id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.col("component").alias("component_id")).unionByName(alone)
+    out = _kept(out, "ngram-components")
+    scratch.clear()
+    return out
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns; of equal ids and texts one row. Documents without words or without an id stay."""
     found = join(docs, id_col, text_col, settings).filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("id").agg(F.min("component_id").alias("component"))
-    gone = written(found.filter("id != component").select(F.col("id").alias("__gone")), "ngram-gone")
+    gone = _kept(found.filter("id != component").select(F.col("id").alias("__gone")), "ngram-gone")
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

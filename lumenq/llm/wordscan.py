@@ -1,6 +1,6 @@
 """Words of whole batches at once, on the UTF-8 bytes that Arrow hands over: no Python loop over words.
 
-Texts are taken in runs of a few MB, which bounds memory; a longer text is a run of its own. Word hashes are
+Texts are taken in runs of a MB, which bounds memory; a longer text is a run of its own. Word hashes are
 polynomial sums over a random table of bytes, modulo 2**64, finished by a mixer, so they need one cumulative sum
 for all words of a run. All hashes are the same on every machine and in every run.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 3 << 20
+RUN_BYTES = 1 << 20
 _BASE = 0x9E6C63D0876A9A33 | 1
 _GRAM = np.uint64(0xD1342543DE82EF95)
 
