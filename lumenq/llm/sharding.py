@@ -79,29 +79,17 @@ def capacity_and_cuts(groups: DataFrame, shards: int, points: int = POINTS) -> t
 
 
 def _finer(groups: DataFrame, known: Totals, spans: list[int], points: int) -> Totals:
-    """Split the open intervals into equal steps and learn the last total of each step."""
+    """Split each open interval into equal steps and learn the last total of each step. The interval's own end is the last of its last step, so every pass narrows it."""
     steps = max(2, points // len(spans))
-    merged: list[list[int]] = []
-    for k in spans:  # neighbouring intervals are one range of the filter
+    cell, inside = F.lit(None).cast("struct<lo: long, step: long>"), F.lit(False)
+    for k in spans:
         lo, hi = known.ends[k - 1], known.ends[k]
-        if merged and merged[-1][1] == lo:
-            merged[-1][1] = hi
-        else:
-            merged.append([lo, hi])
-    inside = F.lit(False)
-    for lo, hi in merged:
-        inside |= (F.col("end") > lo) & (F.col("end") <= hi)
-    part = None
-    for lo, hi in merged:
-        n = max(2, steps * sum(lo < known.ends[k] <= hi for k in spans))
-        width = -(-(hi - lo) // n)
-        cell = F.struct(F.lit(lo).alias("lo"), F.floor((F.col("end") - lo - 1) / F.lit(width)).cast("long").alias("cell"))
         here = (F.col("end") > lo) & (F.col("end") <= hi)
-        part = F.when(here, cell) if part is None else part.when(here, cell)
-    found = groups.filter(inside).groupBy(part.alias("part")).agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).collect()
-    table = {e: o for e, o in zip(known.ends[1:], known.open[1:], strict=True)}
-    for r in found:
-        table[r["end"]] = r["n"] > 1
+        width = -(-(hi - lo) // steps)
+        cell = F.when(here, F.struct(F.lit(lo).cast("long").alias("lo"), F.floor((F.col("end") - lo - 1) / F.lit(width)).cast("long").alias("step"))).otherwise(cell)
+        inside |= here
+    found = groups.filter(inside).groupBy(cell.alias("cell")).agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).collect()
+    table = dict(zip(known.ends[1:], known.open[1:], strict=True)) | {r["end"]: r["n"] > 1 for r in found}
     ends = sorted(table)
     return Totals(ends, [table[e] for e in ends])
 
