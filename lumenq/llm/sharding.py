@@ -79,7 +79,7 @@ def capacity_and_cuts(groups: DataFrame, shards: int, points: int = POINTS) -> t
 
 
 def _finer(groups: DataFrame, known: Totals, spans: list[int], points: int) -> Totals:
-    """Split each open interval into equal steps and learn the last total of each step. The interval's own end is the last of its last step, so every pass narrows it."""
+    """Split each open interval into equal steps and learn the first and the last total of each step. The first of all becomes known, so every pass narrows the interval, wherever its totals lie."""
     steps = max(2, points // len(spans))
     cell, inside = F.lit(None).cast("struct<lo: long, step: long>"), F.lit(False)
     for k in spans:
@@ -88,8 +88,11 @@ def _finer(groups: DataFrame, known: Totals, spans: list[int], points: int) -> T
         width = -(-(hi - lo) // steps)
         cell = F.when(here, F.struct(F.lit(lo).cast("long").alias("lo"), F.floor((F.col("end") - lo - 1) / F.lit(width)).cast("long").alias("step"))).otherwise(cell)
         inside |= here
-    found = groups.filter(inside).groupBy(cell.alias("cell")).agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).collect()
-    table = dict(zip(known.ends[1:], known.open[1:], strict=True)) | {r["end"]: r["n"] > 1 for r in found}
+    found = groups.filter(inside).groupBy(cell.alias("cell")).agg(F.min("end").alias("first"), F.max("end").alias("last"), F.count(F.lit(1)).alias("n")).collect()
+    table = dict(zip(known.ends[1:], known.open[1:], strict=True))
+    for r in found:  # nothing lies between a step's first total and the last of the step before
+        table[r["last"]] = r["n"] > 2
+        table[r["first"]] = False
     ends = sorted(table)
     return Totals(ends, [table[e] for e in ends])
 
