@@ -79,20 +79,43 @@ def capacity_and_cuts(groups: DataFrame, shards: int, points: int = POINTS) -> t
 
 
 def _finer(groups: DataFrame, known: Totals, spans: list[int], points: int) -> Totals:
-    """Split each open interval into equal steps and learn the first and the last total of each step. The first of all becomes known, so every pass narrows the interval, wherever its totals lie."""
-    steps = max(2, points // len(spans))
+    """Split the ranges of neighbouring open intervals into equal steps and learn the first and the last total of each step. The first of a range becomes known, so every pass narrows it, wherever its totals lie."""
+    ranges = merged(known, spans)
     cell, inside = F.lit(None).cast("struct<lo: long, step: long>"), F.lit(False)
-    for k in spans:
-        lo, hi = known.ends[k - 1], known.ends[k]
+    for lo, hi in ranges:
         here = (F.col("end") > lo) & (F.col("end") <= hi)
-        width = -(-(hi - lo) // steps)
+        width = -(-(hi - lo) // max(2, points // len(ranges)))
         cell = F.when(here, F.struct(F.lit(lo).cast("long").alias("lo"), F.floor((F.col("end") - lo - 1) / F.lit(width)).cast("long").alias("step"))).otherwise(cell)
         inside |= here
     found = groups.filter(inside).groupBy(cell.alias("cell")).agg(F.min("end").alias("first"), F.max("end").alias("last"), F.count(F.lit(1)).alias("n")).collect()
+    return learnt(known, [(r["first"], r["last"], r["n"]) for r in found])
+
+
+#: Ranges of one pass: each is a term of the filter, so their number is bounded; the rest waits for the next pass.
+MOST_RANGES = 64
+
+
+def merged(known: Totals, spans: list[int]) -> list[tuple[int, int]]:
+    """Neighbouring open intervals as one range."""
+    out: list[list[int]] = []
+    for k in spans:
+        lo, hi = known.ends[k - 1], known.ends[k]
+        if out and out[-1][1] == lo:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out[:MOST_RANGES]]
+
+
+def learnt(known: Totals, steps: list[tuple[int, int, int]]) -> Totals:
+    """known with the first and last total and the number of totals of each step."""
     table = dict(zip(known.ends[1:], known.open[1:], strict=True))
-    for r in found:  # nothing lies between a step's first total and the last of the step before
-        table[r["last"]] = r["n"] > 2
-        table[r["first"]] = False
+    for first, last, n in steps:
+        i, j = bisect_right(known.ends, first - 1), bisect_right(known.ends, last)
+        own = sorted({first, last, *known.ends[i:j]})
+        for before, end in zip([None, *own], own, strict=False):
+            was = table.get(end, True)  # what was closed stays so; nothing lies between steps, or where all are known
+            table[end] = before is not None and n > len(own) and was
     ends = sorted(table)
     return Totals(ends, [table[e] for e in ends])
 
