@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +20,27 @@ def map_batches(frame: DataFrame, function: Callable[[pa.RecordBatch], Iterator[
     return frame.mapInArrow(go, schema)
 
 
+#: Rows of a batch in operators that hold several values for each word: whole texts of so many rows are in a worker at once.
+BATCH_ROWS = 1024
+
+
+def in_small_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For an operator that writes all its tables before it returns: its Arrow batches have BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = docs.sparkSession.conf
+        before = conf.get(key)
+        conf.set(key, str(BATCH_ROWS))
+        try:
+            return operator(docs, *args, **kwargs)
+        finally:
+            conf.set(key, before)
+
+    return run
+
+
 def id_schema(frame: DataFrame, id_col: str, rest: str) -> T.StructType:
     """The id column as it is, then the given columns."""
     return T.StructType([T.StructField(id_col, frame.schema[id_col].dataType), *T.StructType.fromDDL(rest).fields])

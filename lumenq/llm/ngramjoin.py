@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.llm import wordscan as W
-from lumenq.llm.columns import Scratch, shared_path
+from lumenq.llm.columns import Scratch, in_small_batches, shared_path
 from lumenq.llm.columns import written as _kept
 from lumenq.llm.graph import components
 from lumenq.llm.store import get_array, put_array
@@ -232,6 +232,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch,
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+@in_small_batches
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row for each document: id, n_shingles, class_id (the smallest id with an equal set) and component_id (the smallest id that links reach)."""
     s, scratch = settings, Scratch(docs.sparkSession, "ngrams")
