@@ -12,6 +12,8 @@ Encoding goes through a table of pieces: a text is cut before a space, and aroun
 two characters that are no white space. The tokenizer never joins characters across such a place, so ids of the pieces,
 put together, are the ids of the text; each distinct piece is encoded once while there is room for it in the table, and once a batch beyond that.
 
+Files are ranges of ids. Their borders come from the ids alone, before any text is encoded, so that it is encoded once.
+
 Defined results: a null or empty text is its end id alone; a null id comes first; repeated rows are documents of
 their own; an empty table gives no files and an empty result; further columns are ignored.
 """
@@ -21,8 +23,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,18 +119,32 @@ class Encoder:
         return out
 
 
-def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, s: Settings) -> DataFrame:
-    """id and its ids, compressed for the shuffle."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str, most: int) -> Encoder:
+    """A worker keeps its encoder, and so its table, from task to task."""
+    return Encoder(tokenizer_path, most)
+
+
+def _borders(docs: DataFrame, id_col: str, parts: int) -> list:
+    """The smallest id of each range but the first, for at most so many ranges of nearly equal counts; equal ids are in one range, null in the first."""
+    ids = docs.select(F.col(id_col).alias("id")).filter(F.col(id_col).isNotNull())
+    ranges = ids.repartitionByRange(parts, "id").groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("least"))
+    return sorted(r["least"] for r in ranges.collect())[1:]  # a row for each range
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, borders: list, s: Settings) -> DataFrame:
+    """part, id and its ids, compressed for the shuffle."""
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
 
     def encode(batches):
-        encoder, press = Encoder(tokenizer_path, s.pieces), zstandard.ZstdCompressor(level=1)
+        encoder, press = _encoder(tokenizer_path, s.pieces), zstandard.ZstdCompressor(level=1)
         end = np.array([s.end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 blobs = [press.compress(x + end) for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, type=pa.binary())], names=["id", "ids"])
+                ranges = [0 if x is None else bisect_right(borders, x) for x in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ranges, type=pa.int32()), part.column(0), pa.array(blobs, type=pa.binary())], names=["part", "id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(encode, schema)
 
@@ -180,7 +198,9 @@ class _Writer:
 def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Write all documents below path, in ascending id order; returns the list of files: file, part, n_docs, n_tokens and start, the tokens before the file."""
     s = settings
-    ids = _encoded(docs, id_col, text_col, tokenizer_path, s).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    borders = _borders(docs, id_col, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = _encoded(docs, id_col, text_col, tokenizer_path, borders, s).repartitionById(len(borders) + 1, "part")
+    ids = dealt.sortWithinPartitions(F.col("id").asc_nulls_first()).select("id", "ids")
 
     def pack(batches):
         from pyspark import TaskContext
