@@ -45,7 +45,7 @@ class Settings:
 
     length: int = 1024
     rows: int = 128
-    pieces: int = 400_000
+    pieces: int = 800_000
     end_id: int = 0
 
 
@@ -53,13 +53,14 @@ class Settings:
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 #: Characters that only Python counts as white space make a cut less, never more.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_PLAIN = re.compile(r" \S+\Z")
+#: What a text must not have, for each space and line feed in it to stand alone.
+_DOUBLE = ["  ", "\n\n", " \n", "\n "]
 
 
 class Encoder:
-    """Ids of texts as bytes, through a bounded table of pieces."""
+    """Ids of texts as bytes, through a bounded table of pieces. Its keys: a word for a space and that word, a line feed and a piece for the piece as it is."""
 
-    def __init__(self, tokenizer_path: str, most: int = 400_000):
+    def __init__(self, tokenizer_path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,51 +72,50 @@ class Encoder:
         self.most = most
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        # as many words as single spaces and line feeds separate, and no other white space: then each stands alone
-        if any(c in text for c in _OTHER) or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return _CUT.split(text)
+    def keys(text: str) -> list[str]:
+        if text[0].isspace() or text[-1].isspace() or any(c in text for c in _OTHER) or any(x in text for x in _DOUBLE):
+            return ["\n" + x for x in _CUT.split(text)]
         out: list[str] = []
         for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-            out.append("\n")
+            words = line.split(" ")
+            words[0] = "\n" + words[0]
+            out += words
+            out.append("\n\n")
         out.pop()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get, cut, missing = self.known.get, [], set()
         for t in texts:
-            pieces = self.pieces(t) if t else []
-            ids = list(map(get, pieces))
+            keys = self.keys(t) if t else []
+            ids = list(map(get, keys))
             gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            missing.update([pieces[i] for i in gaps])
-            cut.append((pieces, ids, gaps))
-        fresh = self._encode_pieces(list(missing))
+            missing.update([keys[i] for i in gaps])
+            cut.append((keys, ids, gaps))
+        fresh = self._encode_keys(missing)
         if len(self.known) < self.most:
             self.known.update(fresh)  # words that come first are mostly frequent ones; when full, the table stays as it is
-        for pieces, ids, gaps in cut:
+        for keys, ids, gaps in cut:
             for i in gaps:
-                ids[i] = fresh[pieces[i]]
+                ids[i] = fresh[keys[i]]
         return [b"".join(ids) for _, ids, _ in cut]
 
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Pieces of one space and a word are encoded as one text, which is faster; its ids are cut where a token begins with the space."""
+    def _encode_keys(self, keys: set[str]) -> dict[str, bytes]:
+        """Words with their spaces are encoded as one text, which is faster; its ids are cut where a token begins with the space."""
         out: dict[str, bytes] = {}
-        plain = [p for p in pieces if _PLAIN.match(p)]
+        plain = [k for k in keys if k[0] != "\n"]
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             heads = np.flatnonzero(self.begins[ids])
             if len(heads) != len(some):
                 raise AssertionError("a piece has lost its space")
             raw, size = ids.tobytes(), self.dtype().itemsize
             cuts = [*(heads * size).tolist(), len(raw)]
             out.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
-        rest = [p for p in pieces if p not in out]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[p] = np.array(e.ids, dtype=self.dtype).tobytes()
+        rest = [k for k in keys if k[0] == "\n"]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([k[1:] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype=self.dtype).tobytes()
         return out
 
 
