@@ -186,3 +186,27 @@ def test_word_hashes_do_not_depend_on_the_run():
         w = wordscan.words(run)
         h = wordscan.span_hashes(run, w.start, w.end, lower=True)
         assert h[1] == h[2] == h[3] != h[0]
+
+
+def test_encoder_is_the_plain_tokenizer():
+    import public_tokenizers
+
+    from lumenq.llm.packing import Encoder
+
+    odd = ["it's, don't. x's!!", "a 1,2  3..", " 's", "S,", " ,\n,,a\n\n b, ", "café's%%% 中文, ǅ,", "", "\n", "word,\n.word -,-a", "a\tb c d  e", "one two\nthree one two"]
+    for most in (800_000, 2):
+        encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"), most)
+        for _ in range(2):
+            for text, ids in zip(odd, encoder.encode(odd), strict=True):
+                assert np.frombuffer(ids, dtype=np.uint16).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pairs_aligned_together_are_as_by_themselves():
+
+    from lumenq.llm.passages import align, align_many
+
+    a = [np.arange(k, dtype=np.uint32) + 7 for k in (90, 60, 60, 3, 1)]
+    b = [np.delete(a[0], [40, 41]), np.insert(a[1], 30, 1), a[2][:0], a[3][::-1].copy(), a[4]]
+    together = align_many(a, b, 8)
+    assert together == [align(x, y, 8) for x, y in zip(a, b, strict=True)]
+    assert together[:3] == [(0, 90, 0, 88, 88), (0, 60, 0, 61, 60), (0, 0, 0, 0, 0)]
