@@ -133,6 +133,25 @@ def test_passages(docs, empty):
     assert passages.find(empty).count() == 0
 
 
+def test_passages_around_frequent_phrases(spark):
+    rows = []
+    for family in range(6):
+        phrase = prose(100 + family, 45).split()
+        long = [*prose(200 + family, 8).split(), *phrase, *prose(300 + family, 7).split()]
+        for i in range(14):
+            middle = long if i in (5, 9) else phrase
+            rows.append((100 * family + i, " ".join([*prose(1000 + 100 * family + i, 30).split(), *middle, *prose(5000 + 100 * family + i, 30).split()])))
+    grams = collections.defaultdict(set)
+    for i, t in rows:
+        for k in range(len(t.split()) - 49):
+            grams[tuple(t.split()[k : k + 50])].add(i)
+    want = {tuple(sorted(x)) for x in grams.values() if len(x) > 1}
+    assert want == {(100 * k + 5, 100 * k + 9) for k in range(6)}
+    got = passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.other_doc_id))) for r in got} >= want
+    assert all(r.n_equal >= 60 for r in got if tuple(sorted((r.doc_id, r.other_doc_id))) in want)
+
+
 def test_chains():
     assert passages.chains([(0, 0), (5, 5), (6, 90), (10, 10)], 6, 0.1)[0] == [(0, 0), (5, 5), (10, 10)]
 
