@@ -251,7 +251,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     groups = written(groups.select("gid", "n", "common", "prefix"), "groups")
     members = grouped.select("gid", "cls", "n").distinct()
     tokens = groups.select("gid", "n", "common", F.posexplode("prefix").alias("at", "g"))
-    # n-grams of one group are of no use, nor is one that lies too far back for the smallest partner that it could meet
+    # between groups n-grams of one group are of no use, nor is one that lies too far back for the smallest partner that it could meet
     shared = written(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1").select("g", "least"), "shared")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * s.percent / 100.0))
     tokens = written(tokens.join(shared, "g").filter(F.col("at") <= F.col("n") - _least_overlap(F.col("n"), smallest, s.percent)).drop("least"), "tokens")
@@ -268,7 +268,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     # what is still apart
     split = members.join(same, F.col("cls") == F.col("node"), "left").select("gid", "cls", "n", F.coalesce("component", "cls").alias("c"))
     split = written(split, "split")
-    parts = tokens.drop("common").join(split.select("gid", "n", "c").distinct(), ["gid", "n"])
+    # a group over several components is paired under its first n-gram, even if no other group has it
+    torn = split.groupBy("gid", "n").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("gid", "n")
+    within = groups.join(torn, ["gid", "n"]).select(F.element_at("prefix", 1).alias("g"), "gid", "n", F.lit(0).alias("at"))
+    parts = tokens.drop("common").unionByName(within).join(split.select("gid", "n", "c").distinct(), ["gid", "n"])
     mixed = written(parts.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g"), "mixed")
     parts = written(parts.join(mixed, "g", "left_semi"), "parts")
     # between components first, so that pairs within one are never formed

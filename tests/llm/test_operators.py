@@ -126,6 +126,21 @@ def test_ngram_join(docs, empty):
     assert {r.doc_id for r in ngramjoin.first_of_each(docs, settings=ngramjoin.Settings(words=3, percent=90)).collect()} == {i for i in sets if want[i] == i}
 
 
+def test_ngram_join_within_groups(spark):
+    rows, want = [], {}
+    for k in range(30):
+        x = prose(700 + k, 22).split()
+        y = ["first", *x[1:-1], "last"]
+        texts = [x, y, [*y[:-1], "other"]]
+        rows += [(3 * k + i, " ".join(w)) for i, w in enumerate(texts)]
+        sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in texts]
+        linked = {(i, j) for i in range(3) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])}
+        assert linked == {(2, 1)}
+        want |= {3 * k: 3 * k, 3 * k + 1: 3 * k + 1, 3 * k + 2: 3 * k + 1}
+    got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string"), settings=ngramjoin.Settings(words=3, percent=90)).collect()
+    assert {r.id: r.component_id for r in got} == want
+
+
 def test_passages(docs, empty):
     rows = passages.find(docs).collect()
     assert {r.doc_id for r in rows} | {r.other_doc_id for r in rows} == {0, 1, 2, 11, 12}
