@@ -299,8 +299,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     return out
 
 
+def _with_sums(docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
+    """All columns, then size and fingerprint of each document's set: __n, __f1, __f2."""
+    place = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__n long, __f1 long, __f2 long").fields])
+
+    def add(batches):
+        for batch in batches:
+            rows = [(len(own), *_mixed_sums(own)) for own in _sets(batch.column(place), s.words)]
+            sums = [pa.array(x, type=pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sums], names=[f.name for f in schema])
+
+    return docs.mapInArrow(add, schema)
+
+
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns; of equal ids and texts one row. Documents without words or without an id stay."""
+    """One document of each component, that with the smallest id, with all its columns; of equal ids and texts one row. Of rows without an id one of each set stays, and none whose set a document with an id has. Documents without words stay."""
     found = join(docs, id_col, text_col, settings).filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("id").agg(F.min("component_id").alias("component"))
     gone = _kept(found.filter("id != component").select(F.col("id").alias("__gone")), "ngram-gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    named, nameless = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
+    left = named.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    # only rows of ids that stand there more than once are dealt by text
+    often = _kept(left.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__often")), "ngram-often")
+    again = F.col(id_col) == F.col("__often")
+    out = left.join(often, again, "left_anti").unionByName(left.join(often, again, "left_semi").dropDuplicates([id_col, text_col]))
+    if nameless.isEmpty():
+        return out
+    sums = ["__n", "__f1", "__f2"]
+    known = _with_sums(named.select(text_col), text_col, settings).select(*sums).distinct()
+    nameless = _kept(_with_sums(nameless, text_col, settings), "ngram-nameless")
+    some = nameless.filter("__n > 0").dropDuplicates(sums).join(known, sums, "left_anti")
+    return out.unionByName(some.unionByName(nameless.filter("__n = 0")).select(*docs.columns))

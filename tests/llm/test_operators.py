@@ -126,6 +126,13 @@ def test_ngram_join(docs, empty):
     assert {r.doc_id for r in ngramjoin.first_of_each(docs, settings=ngramjoin.Settings(words=3, percent=90)).collect()} == {i for i in sets if want[i] == i}
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (3, b), (None, b), (None, c), (None, c), (4, ""), (None, "")]
+    left = ngramjoin.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in left) == collections.Counter([(1, a), (3, b), (None, c), (4, ""), (None, "")])
+
+
 def test_ngram_join_within_groups(spark):
     rows, want = [], {}
     for k in range(30):
