@@ -39,10 +39,10 @@ class Band:
 class Rules:
     """whole: bands by document length. chunk: bytes of a chunk, its low and high, and the share of chunks outside that rejects."""
 
-    whole: tuple[Band, ...] = (Band(256, 0.22, 0.95), Band(1024, 0.18, 0.85), Band(4096, 0.15, 0.75))
+    whole: tuple[Band, ...] = (Band(256, 0.22, 0.86), Band(384, 0.22, 0.80), Band(512, 0.22, 0.75), Band(1024, 0.18, 0.72), Band(4096, 0.15, 0.68))
     chunk_bytes: int = 1024
     chunk_low: float = 0.15
-    chunk_high: float = 0.85
+    chunk_high: float = 0.72
     chunk_share: float = 0.25
     level: int = 3
     least_words: int = 20
@@ -103,7 +103,9 @@ def _verdict(text: bytes, rules: Rules, press: zstandard.ZstdCompressor) -> tupl
     ratio = len(press.compress(text)) / size
     pieces = [text[i : i + rules.chunk_bytes] for i in range(0, size, rules.chunk_bytes)]
     if len(pieces[-1]) < rules.chunk_bytes:
-        pieces.pop()  # a short rest says nothing by itself; the whole document covers it
+        pieces.pop()  # a short rest says nothing by itself: the last chunk is taken from the end
+        if pieces:
+            pieces.append(text[-rules.chunk_bytes :])
     ratios = [len(press.compress(p)) / len(p) for p in pieces]
     low, high = sum(r < rules.chunk_low for r in ratios), sum(r > rules.chunk_high for r in ratios)
     reason = None

@@ -52,6 +52,26 @@ def test_quality(docs, empty):
     assert not got[10].kept and got[3].kept and compression.scores(empty).count() == 0
 
 
+def test_incompressible(spark):
+    import base64
+
+    def noise(n):
+        return base64.b64encode(np.random.default_rng(n).bytes(n)).decode()[:n]
+
+    def spaced(n):
+        t = noise(n)
+        return " ".join(t[i : i + 10] for i in range(0, n, 10))[:n]
+
+    sizes = (300, 500, 600, 1000, 1024, 2000, 4000, 4096, 6000, 20000)
+    mixed = [prose(41, 700) + " " + spaced(4200), spaced(4200) + " " + prose(42, 700), prose(43, 200) + " " + spaced(900)]
+    plain = [prose(50 + n, n // 6) for n in sizes if n >= 300]
+    texts = [*map(spaced, sizes), *mixed, *plain]
+    rows = compression.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    bad = len(sizes) + len(mixed)
+    assert {r.doc_id for r in rows if r.reason and r.reason.startswith("incompressible")} == set(range(bad))
+    assert all(r.kept for r in rows if r.doc_id >= bad)
+
+
 def test_tiles():
     a, b = list(range(30)), [90, *range(15, 30), 91, 92, *range(15)]
     assert sorted(tiling.tiles(a, b, list(range(len(b))), 5)) == [(0, 18, 15), (15, 1, 15)]
