@@ -107,8 +107,8 @@ def page_links(url: str | None, html: str | None) -> Iterator[str]:
 
 
 def edges_of(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """u and v: URLs that a page's own links make equal. Only pages that name such a link leave the JVM."""
-    named = F.col(html_col).rlike(r"(?i)<link\b[^>]*\bcanonical\b|<meta\b[^>]*\brefresh\b")
+    """u and v: URLs that a page's own links make equal. Only pages with such a tag leave the JVM: names in it may be written with entities and follow a quoted >."""
+    named = F.col(html_col).rlike(r"(?iu)<(?:link|meta)")
     found = pages.filter(named & F.col(url_col).isNotNull()).select(F.col(url_col).alias("a"), F.explode(_links(F.col(url_col), F.col(html_col))).alias("b"))
     return found.select(node_of(F.col("a")).alias("u"), node_of(F.col("b")).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
 

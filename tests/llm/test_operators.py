@@ -240,6 +240,13 @@ def test_urls(spark):
     assert got[7][2:] == ("bad.com/ok", "allow") and got[8][3] == "allow" and got[9][3] == "allow"
 
 
+def test_links_behind_quotes_and_entities(spark):
+    links = ['<link title="a > b" rel="canonical" href="http://bad.com/1">', '<LINK rel="&#99;anonical" href="http://bad.com/2">', '<meta name="a>b" content="0; url=http://bad.com/3" http-equiv="refresh">']
+    pages = [(i, f"http://alias{i}.net/", f"<html><head>{x}</head>") for i, x in enumerate(links)]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [urls.Rule(False, "bad.com/")]).collect()
+    assert {(r.id, r.verdict) for r in got} == {(i, "block") for i in range(len(links))}
+
+
 def test_word_hashes_do_not_depend_on_the_run():
     import pyarrow as pa
 
