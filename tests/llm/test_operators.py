@@ -91,6 +91,24 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_edited_licenses():
+    import pyarrow as pa
+
+    t = licenses.Templates(licenses.TEMPLATES, licenses.Settings())
+    r, texts = np.random.default_rng(8), []
+    k = t.ids.index("gpl-3.0")
+    plain = re.findall(r"[A-Za-z0-9]+", licenses.TEMPLATES[k][1])
+    while len(texts) < 600:
+        w = list(plain)
+        for at in r.choice(len(w), 3, replace=False):
+            w[at] = f"edit{at}"
+        text = " ".join([prose(len(texts), 60), *w, prose(7000 + len(texts), 60)])
+        own = licenses.shingles(wordscan.utf8_runs([text]), 5)[0]
+        if 0.8 <= np.isin(t.sets[k], own).mean() < 0.84:
+            texts.append(text)
+    assert {row for row, which, *_ in licenses._scan(pa.array(texts), t) if which == k} == set(range(len(texts)))
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(TEXTS) + 1 and all(r.taken <= 2 * r.size for r in rows)
