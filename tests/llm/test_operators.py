@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("lumenq.llm")
-from lumenq.llm import compression, licenses, lm, mixing, ngramjoin, packing, passages, sharding, tiling, urls, wordscan  # noqa: E402
+from lumenq.llm import compression, licenses, lm, mixing, ngramjoin, packing, sharding, tiling, urls, wordscan  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -186,36 +186,6 @@ def test_ngram_join_within_groups(spark):
     assert {r.id: r.component_id for r in got} == want
 
 
-def test_passages(docs, empty):
-    rows = passages.find(docs).collect()
-    assert {r.doc_id for r in rows} | {r.other_doc_id for r in rows} == {0, 1, 2, 11, 12}
-    assert {(r.doc_id, r.other_doc_id) for r in rows if r.kind == "copy"} == {(1, 0)}
-    assert passages.find(empty).count() == 0
-
-
-def test_passages_around_frequent_phrases(spark):
-    rows = []
-    for family in range(6):
-        phrase = prose(100 + family, 45).split()
-        long = [*prose(200 + family, 8).split(), *phrase, *prose(300 + family, 7).split()]
-        for i in range(14):
-            middle = long if i in (5, 9) else phrase
-            rows.append((100 * family + i, " ".join([*prose(1000 + 100 * family + i, 30).split(), *middle, *prose(5000 + 100 * family + i, 30).split()])))
-    grams = collections.defaultdict(set)
-    for i, t in rows:
-        for k in range(len(t.split()) - 49):
-            grams[tuple(t.split()[k : k + 50])].add(i)
-    want = {tuple(sorted(x)) for x in grams.values() if len(x) > 1}
-    assert want == {(100 * k + 5, 100 * k + 9) for k in range(6)}
-    got = passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {tuple(sorted((r.doc_id, r.other_doc_id))) for r in got} >= want
-    assert all(r.n_equal >= 60 for r in got if tuple(sorted((r.doc_id, r.other_doc_id))) in want)
-
-
-def test_chains():
-    assert passages.chains([(0, 0), (5, 5), (6, 90), (10, 10)], 6, 0.1)[0] == [(0, 0), (5, 5), (10, 10)]
-
-
 def test_token_files(docs, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -285,14 +255,3 @@ def test_encoder_is_the_plain_tokenizer():
         for _ in range(2):
             for text, ids in zip(odd, encoder.encode(odd), strict=True):
                 assert np.frombuffer(ids, dtype=np.uint16).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
-
-
-def test_pairs_aligned_together_are_as_by_themselves():
-
-    from lumenq.llm.passages import align, align_many
-
-    a = [np.arange(k, dtype=np.uint32) + 7 for k in (90, 60, 60, 3, 1)]
-    b = [np.delete(a[0], [40, 41]), np.insert(a[1], 30, 1), a[2][:0], a[3][::-1].copy(), a[4]]
-    together = align_many(a, b, 8)
-    assert together == [align(x, y, 8) for x, y in zip(a, b, strict=True)]
-    assert together[:3] == [(0, 90, 0, 88, 88), (0, 60, 0, 61, 60), (0, 0, 0, 0, 0)]
