@@ -27,10 +27,10 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "filter_neq": ("SELECT o_orderkey FROM orders WHERE o_orderstatus != 'F'", None),
     "filter_neq_angle": ("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O'", None),
     "filter_lt": ("SELECT p_partkey FROM part WHERE p_size < 10", None),
-    "filter_gt": ("SELECT p_partkey FROM part WHERE p_retailprice > 1500.5", None),
+    "filter_gt": ("SELECT p_partkey FROM part WHERE p_retailprice > 950.5", None),
     "filter_lte": ("SELECT p_partkey FROM part WHERE p_size <= 10", None),
     "filter_gte": ("SELECT p_partkey FROM part WHERE p_brand >= 'Brand#3'", None),
-    "filter_and": ("SELECT p_partkey FROM part WHERE p_size > 10 AND p_size < 20 AND p_retailprice > 1000.0", None),
+    "filter_and": ("SELECT p_partkey FROM part WHERE p_size > 10 AND p_size < 20 AND p_retailprice > 950.0", None),
     "filter_or": ("SELECT p_partkey FROM part WHERE p_size < 5 OR p_size > 45", None),
     "filter_not": ("SELECT p_partkey FROM part WHERE NOT p_size < 40", None),
     "filter_bang": ("SELECT p_partkey FROM part WHERE !(p_size < 40)", "SELECT p_partkey FROM part WHERE NOT (p_size < 40)"),
@@ -38,7 +38,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "filter_parens": ("SELECT p_partkey FROM part WHERE (p_size = 1 OR p_size = 2) AND p_partkey > 500", None),
     "filter_null_drops": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NULLIF(l_linenumber, 1) > 5", None),
     # predicates
-    "filter_between": ("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice > 1000.0", None),
+    "filter_between": ("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice > 950.0", None),
     "filter_not_between": ("SELECT p_partkey FROM part WHERE p_size NOT BETWEEN 5 AND 45", None),
     "filter_in": ("SELECT p_partkey FROM part WHERE p_size IN (1, 3, 5)", None),
     "filter_not_in": ("SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'P')", None),
@@ -87,6 +87,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "group_many": ("SELECT l_returnflag, l_linestatus, count(1) AS n, sum(l_linenumber) AS s FROM lineitem GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, count(1) AS n, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY l_returnflag, l_linestatus"),
     "group_no_agg": ("SELECT l_returnflag, l_linestatus FROM lineitem GROUP BY l_returnflag, l_linestatus", None),
     "group_all": ("SELECT o_orderstatus, o_orderpriority, count(1) AS n FROM orders GROUP BY ALL", None),
+    "group_all_aggregates": ("SELECT count(1) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY ALL", "SELECT count(1) AS n, sum(l_quantity) AS q FROM lineitem"),
     "group_null_key": ("SELECT e.k AS k, count(1) AS n FROM (SELECT NULLIF(event_type, 'click') AS k FROM events) AS e GROUP BY e.k", "SELECT NULLIF(event_type, 'click') AS k, count(1) AS n FROM events GROUP BY 1"),
     "having": ("SELECT o_custkey, count(1) AS n FROM orders GROUP BY o_custkey HAVING count(1) > 10 AND sum(o_totalprice) > 1000.0", None),
     "order_by_agg": ("SELECT p_brand, count(1) AS n FROM part GROUP BY p_brand ORDER BY sum(p_size) DESC, p_brand LIMIT 5", None),
@@ -162,7 +163,7 @@ _ORDERS = "INSERT INTO t (k, status, price) SELECT o_orderkey, o_orderstatus, o_
 _CREATE = "CREATE TABLE t (k INTEGER PRIMARY KEY, status VARCHAR(1) NOT NULL, price FLOAT)"
 
 
-def _script(*statements: str, fails: str = "", params: dict[int, list] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+def _script(*statements: str | Callable[[Engine], None], fails: str = "", params: dict[int, list] | None = None) -> Callable[[SparkSession, str], DataFrame]:
     """Runs statements; the last one is the result. fails: a statement that must be refused."""
 
     def go(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +171,9 @@ def _script(*statements: str, fails: str = "", params: dict[int, list] | None =
 
         engine = engine_on(spark, sf_dir, warehouse_of(spark))
         for n, s in enumerate(statements):
-            if s == fails:
+            if callable(s):
+                s(engine)
+            elif s == fails:
                 try:
                     engine.sql(s)
                 except LumenError:
@@ -200,8 +203,10 @@ SCRIPTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "alter_not_null": (_script(_CREATE, "ALTER TABLE t ALTER price SET NOT NULL", "INSERT INTO t (k, status) VALUES (1, 'a')", "ALTER TABLE t ALTER price DROP NOT NULL", "INSERT INTO t (k, status) VALUES (2, 'b')", _ALL, fails="INSERT INTO t (k, status) VALUES (1, 'a')"), "SELECT 2::BIGINT AS k, 'b' AS status, NULL::DOUBLE AS price"),
     "unique_reject": (_script(_CREATE, _ORDERS, "INSERT INTO t (k, status) VALUES (1, 'F')", "SELECT count(1) AS n FROM t", fails="INSERT INTO t (k, status) VALUES (1, 'F')"), "SELECT count(1) AS n FROM orders"),
     "unique_index": (_script(_CREATE, _ORDERS, "CREATE UNIQUE INDEX i ON t (status)", "CREATE INDEX j ON t (status)", "DROP INDEX j ON t", "SELECT count(1) AS n FROM t", fails="CREATE UNIQUE INDEX i ON t (status)"), "SELECT count(1) AS n FROM orders"),
-    "index_point_lookup": (_script(_CREATE, _ORDERS, "SELECT k, price FROM t WHERE k = 42"), "SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey = 42"),
-    "index_range_lookup": (_script(_CREATE, _ORDERS, "SELECT k, price FROM t WHERE k > 595 AND k <= 700"), "SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey > 595 AND o_orderkey <= 700"),
+    "index_point_lookup": (_script(_CREATE, _ORDERS, lambda e: e.cluster("t", "k"), "SELECT k, price FROM t WHERE k = 1203"), "SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey = 1203"),
+    "index_range_lookup": (_script(_CREATE, _ORDERS, lambda e: e.cluster("t", "k"), "SELECT k, price FROM t WHERE k >= 2100 AND k < 2350"), "SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey >= 2100 AND o_orderkey < 2350"),
+    "alter_if_exists": (_script(_CREATE, "ALTER TABLE IF EXISTS nowhere RENAME TO u", "ALTER TABLE IF EXISTS t RENAME TO u", _ORDERS.replace("INTO t", "INTO u"), "SELECT k FROM u"), "SELECT o_orderkey AS k FROM orders"),
+    "txn_recreate": (_script(_CREATE, _ORDERS, "BEGIN TRANSACTION", "DROP TABLE t", "CREATE TABLE t (k INTEGER, s VARCHAR(9))", "INSERT INTO t (k, s) VALUES (1, 'new')", "COMMIT", "SELECT * FROM t"), "SELECT 1::BIGINT AS k, 'new' AS s"),
     "show_tables": (_script(_CREATE, "CREATE TABLE IF NOT EXISTS u (a BOOLEAN)", "DROP TABLE IF EXISTS v", "SHOW TABLES"), "SELECT * FROM (VALUES ('t'), ('u')) AS x(\"table name\")"),
     "show_databases": (_script("CREATE DATABASE a", "CREATE DATABASE IF NOT EXISTS a", "ALTER DATABASE a RENAME TO b", "CREATE DATABASE c", "DROP DATABASE c", "\\l"), "SELECT * FROM (VALUES ('default'), ('b')) AS x(\"database name\")"),
     "use_database": (_script("CREATE DATABASE a", "\\c a", "CREATE TABLE t (k INT)", "INSERT INTO a.t (k) VALUES (1)", "USE default", "SELECT * FROM a.t"), "SELECT 1::BIGINT AS k"),

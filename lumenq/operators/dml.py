@@ -62,7 +62,7 @@ def insert(engine, stmt: A.Insert) -> int:
     check_unique(frame, unique, engine.store.read(path, meta) if meta.data else None)
     if name is None:
         name, n = engine.store.write(path, meta, frame)
-    engine.save(path, replace(meta, data=(*meta.data, name)))
+    engine.save(path, replace(meta, data=(*meta.data, name), marks={**meta.marks, **engine.mark}))
     return n
 
 
@@ -101,6 +101,11 @@ def _target(engine, table: A.TableName, alias: str | None):
     return path, meta, scope.relations[0].frame, engine.planner().lowering(scope)
 
 
+def _again(engine, meta: TableMeta, stmt: A.Update | A.Delete) -> DataFrame:
+    """Part of a table's files, under the name that the statement's expressions use."""
+    return engine.store.read(engine.path(stmt.table), meta).alias(stmt.alias or stmt.table.name)
+
+
 def update(engine, stmt: A.Update) -> int:
     path, meta, frame, low = _target(engine, stmt.table, stmt.alias)
     hit = F.coalesce(low.condition(stmt.where), F.lit(False)) if stmt.where is not None else F.lit(True)
@@ -112,15 +117,18 @@ def update(engine, stmt: A.Update) -> int:
             raise ExecuteError(f"column {name} is set twice")
         sets[c.id] = t.column.cast(c.spark_type)
     values = [(F.when(hit, sets[c.id]).otherwise(F.col(f"`{c.name}`")) if c.id in sets else F.col(f"`{c.name}`")).alias(c.name) for c in meta.columns]
-    n = frame.filter(hit).count()
-    if n == 0:
+    # only files with a row that changes are written anew
+    hits = engine.store.hits(path, meta, low.condition(stmt.where) if stmt.where is not None else F.lit(True), stmt.alias or stmt.table.name)
+    if not hits:
         return 0
-    name, _ = engine.store.write(path, meta, frame.select(*values))
+    kept = engine.store.without(path, meta, set(hits))
+    part = replace(meta, data=tuple(sorted(hits)))
+    name, _ = engine.store.write(path, meta, _again(engine, part, stmt).select(*values))
     written = engine.store.read(path, replace(meta, data=(name,)))
     check_not_null(written, [c for c in meta.columns if c.not_null and c.id in sets])
-    check_unique(written, [c for c in meta.unique_columns() if c.id in sets])
-    engine.save(path, replace(meta, data=(name,)))
-    return n
+    check_unique(written, [c for c in meta.unique_columns() if c.id in sets], engine.store.read(path, replace(meta, data=kept)) if kept else None)
+    engine.save(path, replace(meta, data=(*kept, name)))
+    return sum(hits.values())
 
 
 def delete(engine, stmt: A.Delete) -> int:
@@ -129,9 +137,11 @@ def delete(engine, stmt: A.Delete) -> int:
         n = frame.count()
         engine.save(path, replace(meta, data=()))
         return n
-    hit = F.coalesce(low.condition(stmt.where), F.lit(False))
-    n = frame.filter(hit).count()
-    if n:
-        name, _ = engine.store.write(path, meta, frame.filter(~hit))
-        engine.save(path, replace(meta, data=(name,)))
-    return n
+    condition = low.condition(stmt.where)
+    hits = engine.store.hits(path, meta, condition, stmt.alias or stmt.table.name)
+    if hits:
+        kept = engine.store.without(path, meta, set(hits))
+        part = _again(engine, replace(meta, data=tuple(sorted(hits))), stmt)
+        name, n = engine.store.write(path, meta, part.filter(~F.coalesce(condition, F.lit(False))))
+        engine.save(path, replace(meta, data=(*kept, name) if n else kept))
+    return sum(hits.values())

@@ -12,7 +12,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,8 @@ class TableMeta:
     columns: tuple[ColumnMeta, ...]
     next_id: int
     indexes: dict[str, tuple[str, bool]] = field(default_factory=dict)  # name -> column id, unique
-    data: tuple[str, ...] = ()
+    data: tuple[str, ...] = ()  # folders, or single files of folders
+    marks: dict[str, int] = field(default_factory=dict)  # stream -> its last batch that is in
 
     def column(self, name: str) -> ColumnMeta:
         for c in self.columns:
@@ -70,7 +71,7 @@ class TableMeta:
     @staticmethod
     def from_json(text: str) -> TableMeta:
         x = json.loads(text)
-        return TableMeta(x["version"], tuple(ColumnMeta(**c) for c in x["columns"]), x["next_id"], {k: tuple(v) for k, v in x["indexes"].items()}, tuple(x["data"]))
+        return TableMeta(x["version"], tuple(ColumnMeta(**c) for c in x["columns"]), x["next_id"], {k: tuple(v) for k, v in x["indexes"].items()}, tuple(x["data"]), x.get("marks", {}))
 
 
 def check_name(name: str) -> str:
@@ -115,12 +116,34 @@ class TableStore:
 
     def read(self, path: str, meta: TableMeta) -> DataFrame:
         """Columns under their logical names; those that a data folder lacks are NULL."""
+        return self._physical(path, meta).select(*[F.col(c.id).alias(c.name) for c in meta.columns])
+
+    def _physical(self, path: str, meta: TableMeta) -> DataFrame:
         physical = T.StructType([T.StructField(c.id, c.spark_type) for c in meta.columns])
-        if meta.data:
-            frame = self.spark.read.schema(physical).parquet(*[f"{path}/data/{d}" for d in meta.data])
-        else:
-            frame = self.spark.createDataFrame([], physical)
-        return frame.select(*[F.col(c.id).alias(c.name) for c in meta.columns])
+        if not meta.data:
+            return self.spark.createDataFrame([], physical)
+        return self.spark.read.schema(physical).parquet(*[f"{path}/data/{d}" for d in meta.data])
+
+    def hits(self, path: str, meta: TableMeta, hit: Column, alias: str) -> dict[str, int]:
+        """How many rows the condition, in which the table has this alias, holds for in each file that has some, as folder/file."""
+        if not meta.data:
+            return {}
+        frame = self._physical(path, meta).withColumn("__file", F.col("_metadata.file_path"))
+        frame = frame.select(*[F.col(c.id).alias(c.name) for c in meta.columns], "__file").alias(alias)
+        return {"/".join(r["__file"].split("/")[-2:]): r["n"] for r in frame.filter(hit).groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def without(self, path: str, meta: TableMeta, files: set[str]) -> tuple[str, ...]:
+        """The table's data but for some files."""
+        out: list[str] = []
+        for entry in meta.data:
+            if "/" in entry:
+                out += [entry] if entry not in files else []
+            elif not any(f.startswith(f"{entry}/") for f in files):
+                out.append(entry)
+            else:
+                names = [f"{entry}/{n}" for n in self.fs.names(f"{path}/data/{entry}") if n.endswith(".parquet")]
+                out += [n for n in names if n not in files]
+        return tuple(out)
 
     def write(self, path: str, meta: TableMeta, frame: DataFrame) -> tuple[str, int]:
         """Write a frame with logical names as a new data folder; returns its name and its rows."""
@@ -128,5 +151,11 @@ class TableStore:
 
         name, seen = uuid.uuid4().hex, Observation()
         frame = frame.select(*[F.col(f"`{c.name}`").cast(c.spark_type).alias(c.id) for c in meta.columns])
-        frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/data/{name}")
+        keys = list(dict.fromkeys(column for column, _ in meta.indexes.values() if column in frame.columns))
+        writer = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
+        # an index is a layout: files sorted by the first indexed column, and a Bloom filter of each
+        writer = (writer.sortWithinPartitions(keys[0]) if keys else writer).write
+        for key in keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer.parquet(f"{path}/data/{name}")
         return name, seen.get["rows"]
