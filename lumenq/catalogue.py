@@ -173,7 +173,8 @@ def _script(*statements: str | Callable[[Engine], None], fails: str = "", params
         for n, s in enumerate(statements):
             if callable(s):
                 s(engine)
-            elif s == fails:
+                continue
+            if s == fails:
                 try:
                     engine.sql(s)
                 except LumenError:
