@@ -9,12 +9,15 @@ bounded from both sides; the intervals in which the bounds differ are looked up
 capacity and its cuts are exact. So no more than POINTS numbers ever reach the driver, however many groups there are.
 
 Defined results: a null text has size 1 and the checksum of an empty text, and goes with the empty texts' group apart
-(null is a text of its own); repeated rows are rows of their own; with fewer groups than shards the last shards stay
+(null is a text of its own); repeated rows are rows of their own; equal texts have neighbouring slots, in order of their
+ids (null last), or in a group of more than LARGE_GROUP rows in order of parts by a hash of the id and within them of
+ids; equal ids are interchangeable; with fewer groups than shards the last shards stay
 empty; an empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Window
@@ -141,23 +144,36 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     groups = groups.select("atom", "n", (F.col("bytes0") + F.sum("bytes").over(upto)).alias("end"), (F.col("n0") + F.sum("n").over(upto) - F.col("n")).alias("first"))
     groups = written(groups, "shard-totals")
     _, cuts = capacity_and_cuts(groups, shards)
-    place = F.lit(0)
-    for cut in cuts[:-1]:
-        place = place + (F.col("end") > cut).cast("int")
-    # the first row number of each shard: at most as many rows as shards
-    groups = groups.withColumn("shard", place)
-    starts = {r["shard"]: r["first"] for r in groups.groupBy("shard").agg(F.min("first").alias("first")).collect()}
-    start = F.lit(0)
-    for s, first in sorted(starts.items()):
-        start = F.when(F.col("shard") == s, F.lit(first)).otherwise(start)
-    groups = groups.select("atom", "n", "shard", (F.col("first") - start).alias("first"))
+    groups = placed(groups, cuts)
+    starts = groups.groupBy("shard").agg(F.min("first").alias("start"))  # a row for each shard at most
+    groups = groups.join(F.broadcast(starts), "shard").select("atom", "n", "shard", (F.col("first") - F.col("start")).alias("first"))
     rows = rows.join(groups, "atom")
     # numbers within a group; a large group is numbered in parts, whose sizes give each part's first number
     rows = rows.withColumn("part", F.when(F.col("n") > LARGE_GROUP, F.pmod(F.xxhash64("id"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))
-    number = F.row_number().over(Window.partitionBy("atom", "part").orderBy(F.col("id").asc_nulls_last())) - 1
     large = rows.filter(F.col("n") > LARGE_GROUP).groupBy("atom", "part").agg(F.count(F.lit(1)).alias("pn"))
     ahead = Window.partitionBy("atom").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     large = large.select(F.col("atom").alias("a"), F.col("part").alias("p"), F.coalesce(F.sum("pn").over(ahead), F.lit(0)).alias("offset"))
+    # dealt by group and part, or the join's dealing by group alone would do for the window and leave a large group in one task
+    rows = rows.repartition("atom", "part")
+    number = F.row_number().over(Window.partitionBy("atom", "part").orderBy(F.col("id").asc_nulls_last())) - 1
     rows = rows.withColumn("number", number).join(large, (F.col("atom") == F.col("a")) & (F.col("part") == F.col("p")), "left")
     slot = F.col("first") + F.coalesce("offset", F.lit(0)) + F.col("number")
     return rows.select("id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+
+
+def placed(groups: DataFrame, cuts: list[int]) -> DataFrame:
+    """groups with shard, how many cuts but the last lie before a group's end. The cuts are one table of a row for each cell of equal width, which holds the shard that begins it and the cuts within, so neither the plan nor the work for a row grows with the shards."""
+    cells = 4 * len(cuts)
+    width = max(1, -(-max(cuts, default=1) // cells))
+    table: dict[int, list[int]] = {}
+    for cut in cuts[:-1]:
+        table.setdefault(cut // width, []).append(cut)
+    rows, before = [], 0
+    for cell in range(cells + 1):
+        own = table.get(cell, [])
+        rows.append({"cell": cell, "before": before, "cuts": own})
+        before += len(own)
+    schema = "array<struct<cell: long, before: int, cuts: array<long>>>"
+    lookup = groups.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), schema)).alias("c")).select("c.*")
+    out = groups.withColumn("cell", F.floor(F.col("end") / F.lit(width)).cast("long")).join(F.broadcast(lookup), "cell")
+    return out.withColumn("shard", F.col("before") + F.size(F.filter("cuts", lambda c: c < F.col("end")))).drop("cell", "before", "cuts")
