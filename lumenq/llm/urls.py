@@ -8,11 +8,12 @@ Edges come from the pages' HTML (canonical links and refresh redirects) and from
 URLs are compared without fragment, with scheme and host lower-cased, an empty path as /.
 
 Defined results: a null URL, or one without ://, has an empty host and path, fits no rule and is allowed; null HTML
-has no links; pages with equal URLs get equal verdicts; an empty table gives an empty result; other columns are ignored.
+has no links; pages with equal URLs get equal verdicts; of two equal rules the block counts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,8 @@ from lumenq.llm.columns import written
 from lumenq.llm.graph import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_RULES = 1000
+#: Rules up to which they are part of the plan; more are a table.
+INLINE = 256
 
 
 @dataclass(frozen=True)
@@ -54,20 +56,46 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The text of the longest rule that fits, or null; of equally long ones that with the longer host."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"no more than {MOST_RULES} rules")
-    out = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.text), len(r.host))):  # the last one asked is the first that counts
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        out = F.when(fits, F.lit(r.text)).otherwise(out)
-    return out
+RULE = "struct<size: int, host: string, path: string, allow: boolean>"
 
 
-def allows(rule: Column, rules: list[Rule]) -> Column:
-    """True, False, or null where there is no rule."""
-    return F.when(rule.isin([r.text for r in rules if r.allow] or [""]), True).when(rule.isNotNull(), False)
+def _ruled(frame: DataFrame, rules: list[Rule], host: str = "host", path: str = "path") -> DataFrame:
+    """frame with rule and said: text and verdict of the longest rule that fits a row's host and path, or null; of equally long ones that with the longer host, of equal ones the block."""
+    best: dict[str, Rule] = {}
+    for r in rules:
+        if r.text not in best or best[r.text].allow:
+            best[r.text] = r
+    rules = list(best.values())
+    found = _few(frame, rules, host, path) if len(rules) <= INLINE else _many(frame, rules, host, path)
+    return found.withColumn("rule", F.concat("__rule.host", "__rule.path")).withColumn("said", F.col("__rule.allow")).drop("__rule")
+
+
+def _entries(rules: list[Rule]) -> str:
+    return json.dumps([{"size": len(r.text), "host": r.host, "path": r.path, "allow": r.allow} for r in rules])
+
+
+def _few(frame: DataFrame, rules: list[Rule], host: str, path: str) -> DataFrame:
+    """All rules as one array, in the plan itself."""
+    entries = F.from_json(F.lit(_entries(rules)), f"array<{RULE}>")
+    fits = F.filter(entries, lambda r: ((F.col(host) == r["host"]) | F.endswith(F.col(host), F.concat(F.lit("."), r["host"]))) & F.startswith(F.col(path), r["path"]))
+    longest = F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), F.length(r["host"]).alias("n"), r["host"].alias("host"), r["path"].alias("path"), r["allow"].alias("allow"))))
+    return frame.withColumn("__rule", longest)
+
+
+def _many(frame: DataFrame, rules: list[Rule], host: str, path: str) -> DataFrame:
+    """Rules as a table: a URL's host and every domain above it are looked up, then those beginnings of its path that are as long as some rule's there. Each is a join on equal keys, over distinct hosts and paths."""
+    spark = frame.sparkSession
+    table = spark.createDataFrame([(r.host, r.path, r.allow) for r in rules], "host string, path string, allow boolean")
+    lengths = table.groupBy(F.col("host").alias("h")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
+    keys = frame.select(F.col(host).alias("__host"), F.col(path).alias("__path")).filter("__host IS NOT NULL AND __path IS NOT NULL").distinct()
+    labels = F.split("__host", "\\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
+    asked = keys.withColumn("h", F.explode(above)).join(lengths, "h")
+    asked = asked.withColumn("k", F.explode(F.filter("lengths", lambda k: k <= F.length("__path")))).withColumn("p", F.expr("substring(__path, 1, k)"))
+    hits = asked.join(table, (F.col("h") == F.col("host")) & (F.col("p") == F.col("path")))
+    rule = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("n"), "host", "path", "allow")
+    best = hits.groupBy("__host", "__path").agg(F.max(rule).alias("__rule"))
+    return frame.join(best, (F.col(host) == F.col("__host")) & (F.col(path) == F.col("__path")), "left").drop("__host", "__path")
 
 
 def node_of(url: Column) -> Column:
@@ -117,7 +145,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     """One row for each page: id, host, path, rule, verdict and component (null where no link touches the URL). redirects: columns src and dst."""
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    rows = _ruled(rows, rules).withColumnRenamed("said", "own")
     edges = edges_of(pages, url_col, html_col) if html_col else None
     if redirects is not None:
         more = redirects.select(node_of(F.col("src")).alias("u"), node_of(F.col("dst")).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
@@ -130,10 +158,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
         rows = rows.withColumn("component", F.lit(None).cast("string")).withColumn("blocked", F.lit(None).cast("boolean"))
     else:
         # every URL of a component counts, whether or not it is a page here
-        said = allows(rule_of(host_of(F.col("node")), path_of(F.col("node")), rules), rules)
-        verdicts = same.withColumn("said", said).groupBy("component").agg((F.coalesce(F.bool_or(~F.col("said")), F.lit(False)) & ~F.coalesce(F.bool_or("said"), F.lit(False))).alias("blocked"))
-        same = same.join(written(verdicts, "alias-verdicts"), "component")
+        same = _ruled(same.withColumn("host", host_of(F.col("node"))).withColumn("path", path_of(F.col("node"))), rules).drop("host", "path", "rule")
+        verdicts = same.groupBy("component").agg((F.coalesce(F.bool_or(~F.col("said")), F.lit(False)) & ~F.coalesce(F.bool_or("said"), F.lit(False))).alias("blocked"))
+        same = same.drop("said").join(written(verdicts, "alias-verdicts"), "component")
         rows = rows.join(written(same, "alias-members"), "node", "left")
-    own = allows(F.col("rule"), rules)
-    verdict = F.when(F.coalesce(own, ~F.coalesce(F.col("blocked"), F.lit(False))), "allow").otherwise("block")
+    verdict = F.when(F.coalesce(F.col("own"), ~F.coalesce(F.col("blocked"), F.lit(False))), "allow").otherwise("block")
     return rows.select("id", "host", "path", "rule", verdict.alias("verdict"), "component")
