@@ -25,6 +25,7 @@ from lumenq.llm.columns import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 65536
+PARTS = 1024
 #: Documents of fewer than 2**FULL - 1 words expect fewer copies, by half for each power of two.
 FULL = 6
 #: Expected copies that are so near to a whole number are that number.
@@ -114,11 +115,29 @@ def _head(rows: DataFrame, only_fitting: bool = False) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The mix itself: every document as many times as it has copies, with all its columns. Rows that agree in id, source and size share their copies evenly."""
+    """The mix itself: every document as many times as it has copies, with all its columns. Rows that agree in id, source and size share their copies as evenly as whole numbers allow."""
     found = mix(docs, id_col, text_col, source_col, **settings)
-    found = found.groupBy("id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("__copies"))
-    found = written(found.filter("__copies > 0").select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies"), "mix-copies")
+    key = ["id", "source", "size"]
+    found = found.groupBy(*key).agg(F.sum("copies").cast("long").alias("__total"), F.count(F.lit(1)).alias("__rows"))
+    found = written(found.filter("__total > 0").select(*[F.col(k).alias(f"__{k}") for k in key], "__total", "__rows"), "mix-copies")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    out = docs.join(found, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*docs.columns)
+    rows = docs.join(found, same)
+    alone = rows.filter("__rows = 1").withColumn("__copies", F.col("__total"))
+    # rows that agree in id, source and size are numbered, in parts by text so that many of them are not one task
+    again = rows.filter("__rows > 1").withColumn("__part", F.pmod(F.xxhash64(text_col, *[c for c, t in docs.dtypes if c != text_col and not t.startswith("map")]), F.lit(PARTS)))
+    group = ["__id", "__source", "__size"]
+    parts = again.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
+    parts = written(parts.select(*[F.col(c).alias(f"{c}2") for c in group], F.col("__part").alias("__part2"), "__before"), "mix-parts")
+    on = F.col("__part") == F.col("__part2")
+    for c in group:
+        on &= F.col(c).eqNullSafe(F.col(f"{c}2"))
+    again = again.join(parts, on)
+    number = F.col("__before") + F.row_number().over(Window.partitionBy(*group, "__part").orderBy(F.xxhash64(text_col)))
+    each = F.floor(F.col("__total") / F.col("__rows")) + (number <= F.col("__total") % F.col("__rows")).cast("long")
+    again = again.withColumn("__copies", each).filter("__copies > 0")
+    kept = [*docs.columns, "__copies"]
+    out = alone.select(*kept).unionByName(again.select(*kept))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
