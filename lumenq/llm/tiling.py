@@ -35,6 +35,10 @@ class Settings:
     threshold: float = 0.8
     first_search: int = 20
 
+    def __post_init__(self):
+        if self.min_tile < self.seed:
+            raise ValueError("a tile without a seed would not be found")
+
 
 class Items:
     """A block of test items: their words, and which items have a seed. Sent to every worker."""
@@ -45,26 +49,46 @@ class Items:
         h = W.span_hashes(run, w.start, w.end, lower=True)
         at = np.searchsorted(w.doc, np.arange(len(rows) + 1))
         self.ids = [i for i, _ in rows]
+        self._known: dict[int, set[int]] = {}
         self.words = [h[at[i] : at[i + 1]].tolist() for i in range(len(rows))]
         g, first = W.ngrams(h, w.doc, seed)
         self.seeds = W.HashSet(g)
-        pairs = np.unique(np.stack([np.searchsorted(self.seeds.values, g), w.doc[first]], axis=1), axis=0) if len(g) else np.zeros((0, 2), dtype=np.int64)
+        pairs, times = np.unique(np.stack([np.searchsorted(self.seeds.values, g), w.doc[first]], axis=1), axis=0, return_counts=True) if len(g) else (np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64))
         self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.seeds.values) + 1))
-        self.item = pairs[:, 1]
+        self.item, self.times = pairs[:, 1], times
+        self.sizes = np.diff(at)
 
-    def pairs(self, run: W.Run, seed: int) -> Iterator[tuple[int, int, list[int], list[int]]]:
-        """(text, item, words of the text that lie in shared seeds, their places)."""
+    def pairs(self, run: W.Run, s: Settings) -> Iterator[tuple[int, int, list[int], list[int]]]:
+        """(text, item, words of the text that lie in shared seeds, their places), for pairs whose shared seeds could cover enough of the item."""
         w = W.words(run, W.NOT_ALNUM)
         h = W.span_hashes(run, w.start, w.end, lower=True)
-        g, first = W.ngrams(h, w.doc, seed)
+        g, first = W.ngrams(h, w.doc, s.seed)
         hit, rank = self.seeds.find(g)
-        places: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for at, r in zip(first[hit].tolist(), rank.tolist(), strict=True):
-            for item in self.item[self.first[r] : self.first[r + 1]].tolist():
-                places[int(w.doc[at]), item].update(range(at, at + seed))
-        for (doc, item), found in sorted(places.items()):
-            where = sorted(found)
-            yield doc, item, h[where].tolist(), where
+        if not len(hit):
+            return
+        at, doc = first[hit], w.doc[first[hit]]
+        # each text and seed once: the words of an item in its shared seeds bound what tiles can cover
+        seen = np.unique(np.stack([doc, rank], axis=1), axis=0)
+        n = self.first[seen[:, 1] + 1] - self.first[seen[:, 1]]
+        entry = np.repeat(self.first[seen[:, 1]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.repeat(seen[:, 0], n) * len(self.ids) + self.item[entry]
+        pair, back = np.unique(both, return_inverse=True)
+        most = s.seed * np.bincount(back, weights=self.times[entry])
+        pair = pair[most >= s.threshold * self.sizes[pair % len(self.ids)]]
+        if not len(pair):
+            return
+        cut = np.searchsorted(doc, np.arange(len(run) + 1))
+        for p in pair.tolist():
+            i, item = divmod(p, len(self.ids))
+            own = slice(int(cut[i]), int(cut[i + 1]))
+            here = [a for a, r in zip(at[own].tolist(), rank[own].tolist(), strict=True) if item in self._items_of(r)]
+            where = sorted({x for a in here for x in range(a, a + s.seed)})
+            yield i, item, h[where].tolist(), where
+
+    def _items_of(self, rank: int) -> set[int]:
+        if rank not in self._known:
+            self._known[rank] = set(self.item[self.first[rank] : self.first[rank + 1]].tolist())
+        return self._known[rank]
 
 
 def tiles(pattern: list[int], text: list[int], places: list[int], min_tile: int, first_search: int = 20) -> list[tuple[int, int, int]]:
@@ -133,7 +157,7 @@ def _found(column: pa.Array, items: Items, s: Settings) -> Iterator[tuple[int, i
     """(row, item, tiles with places in the text, words covered) of every leak in a column."""
     for run in W.runs(column):
         starts: np.ndarray | None = None
-        for doc, item, text, places in items.pairs(run, s.seed):
+        for doc, item, text, places in items.pairs(run, s):
             pattern = items.words[item]
             laid = tiles(pattern, text, places, s.min_tile, s.first_search)
             covered = sum(n for _, _, n in laid)
