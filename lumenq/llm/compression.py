@@ -28,21 +28,33 @@ _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
 @dataclass(frozen=True)
 class Band:
-    """From so many bytes on, compressed size / size must lie between low and high."""
+    """From so many bytes on, compressed size / size must lie between low and high, and compressed size / size under the entropy of single bytes below over: random text of few letters, such as hexadecimal digits, compresses, but never below that."""
 
     from_bytes: int
     low: float
     high: float
+    over: float = float("inf")
 
 
 @dataclass(frozen=True)
 class Rules:
     """whole: bands by document length. chunk: bytes of a chunk, its low and high, and the share of chunks outside that rejects."""
 
-    whole: tuple[Band, ...] = (Band(256, 0.22, 0.86), Band(384, 0.22, 0.80), Band(512, 0.22, 0.75), Band(1024, 0.18, 0.72), Band(4096, 0.15, 0.68))
+    whole: tuple[Band, ...] = (
+        Band(96, 0.0, 0.96),
+        Band(192, 0.0, 0.89),
+        Band(256, 0.22, 0.82),
+        Band(384, 0.22, 0.77),
+        Band(512, 0.22, 0.74),
+        Band(768, 0.22, 0.70),
+        Band(1024, 0.18, 0.66),
+        Band(2048, 0.18, 0.62, 1.045),
+        Band(4096, 0.15, 0.58, 1.01),
+        Band(8192, 0.15, 0.56, 0.99),
+    )
     chunk_bytes: int = 1024
     chunk_low: float = 0.15
-    chunk_high: float = 0.72
+    chunk_high: float = 0.68
     chunk_share: float = 0.25
     level: int = 3
     least_words: int = 20
@@ -94,6 +106,13 @@ def base_counts(run: W.Run, window: int) -> tuple[np.ndarray, ...]:
     return n_words, chars, symbols, dup_lines, repeat
 
 
+def _entropy(text: bytes) -> float:
+    """Bits for each byte, by how often it occurs."""
+    n = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
+    p = n[n > 0] / len(text)
+    return float(-(p * np.log2(p)).sum())
+
+
 def _verdict(text: bytes, rules: Rules, press: zstandard.ZstdCompressor) -> tuple:
     """ratio, chunks below and above their limits, chunks, reason or None."""
     size = len(text)
@@ -111,7 +130,7 @@ def _verdict(text: bytes, rules: Rules, press: zstandard.ZstdCompressor) -> tupl
     reason = None
     if band is not None and ratio < band.low:
         reason = "repetitive"
-    elif band is not None and ratio > band.high:
+    elif band is not None and (ratio > band.high or ratio > band.over * _entropy(text) / 8):
         reason = "incompressible"
     elif ratios and low >= rules.chunk_share * len(ratios):
         reason = "repetitive chunks"

@@ -1,5 +1,6 @@
 """What must not depend on how many rules, shards, copies or items there are."""
 
+import base64
 import collections
 import time
 
@@ -9,7 +10,7 @@ import pytest
 pytest.importorskip("lumenq.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from lumenq.llm import graph, mixing, sharding, tiling, urls  # noqa: E402
+from lumenq.llm import compression, graph, mixing, sharding, tiling, urls  # noqa: E402
 
 
 def plain_rule(host, path, rules):
@@ -158,3 +159,28 @@ def test_items_that_begin_alike(spark):
     assert [(g.doc_id, g.item_id) for g in got] == [(900, 7)] and time.time() - began < 60
     with pytest.raises(ValueError):
         tiling.Settings(seed=6, min_tile=5)
+
+
+@pytest.mark.parametrize("words", [30, 100, 300, 1000, 5000])
+def test_noise_is_rejected(spark, words):
+    r = np.random.default_rng(words)
+    n = 8 * words
+
+    def spaced(x):
+        return " ".join(x[i : i + 7] for i in range(0, n, 8))
+
+    noise = {"base64": spaced(base64.b64encode(r.bytes(n)).decode()), "bytes": spaced("".join(chr(c) for c in r.integers(33, 127, n))), "loop": " ".join(f"{k % 9}word" for k in range(words))}
+    if words >= 300:
+        noise["hex"] = spaced(r.bytes(n).hex())
+        letters = "".join(r.choice(list("etaoinshrdlu"), n))
+        noise["half"] = " ".join(f"the {letters[i : i + 5]} is" for i in range(0, n // 2, 8)) + " " + spaced(base64.b64encode(r.bytes(n)).decode())[: n // 2]
+    docs = spark.createDataFrame(list(enumerate(noise.values())), "doc_id long, body string")
+    kept = {x.doc_id: x.kept for x in compression.scores(docs, text_col="body").collect()}
+    assert {k: kept[i] for i, k in enumerate(noise)} == dict.fromkeys(noise, False)
+
+
+def test_clean_prose_is_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = compression.scores(docs).filter("NOT base_failed")
+    n, rejected = found.count(), found.filter("reason LIKE 'incompressible%'").count()
+    assert rejected <= 0.01 * n
