@@ -28,7 +28,7 @@ _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
 @dataclass(frozen=True)
 class Band:
-    """From so many bytes on, compressed size / size must lie between low and high, and compressed size / size under the entropy of single bytes below over: random text of few letters, such as hexadecimal digits, compresses, but never below that."""
+    """From so many bytes on, compressed size / size must lie between low and high, and, where many bytes are digits, that over the entropy of single bytes below over: random digits, such as hexadecimal ones, compress, but never below that."""
 
     from_bytes: int
     low: float
@@ -106,11 +106,17 @@ def base_counts(run: W.Run, window: int) -> tuple[np.ndarray, ...]:
     return n_words, chars, symbols, dup_lines, repeat
 
 
-def _entropy(text: bytes) -> float:
-    """Bits for each byte, by how often it occurs."""
+#: Share of digits from which a text is compared with the entropy of its bytes.
+DIGITS = 0.2
+
+
+def _random_digits(text: bytes, ratio: float, over: float) -> bool:
+    """Whether a text of many digits compresses no better than its bytes, each by itself, would."""
     n = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
+    if n[48:58].sum() < DIGITS * len(text):
+        return False
     p = n[n > 0] / len(text)
-    return float(-(p * np.log2(p)).sum())
+    return bool(ratio > over * -(p * np.log2(p)).sum() / 8)
 
 
 def _verdict(text: bytes, rules: Rules, press: zstandard.ZstdCompressor) -> tuple:
@@ -130,7 +136,7 @@ def _verdict(text: bytes, rules: Rules, press: zstandard.ZstdCompressor) -> tupl
     reason = None
     if band is not None and ratio < band.low:
         reason = "repetitive"
-    elif band is not None and (ratio > band.high or ratio > band.over * _entropy(text) / 8):
+    elif band is not None and (ratio > band.high or _random_digits(text, ratio, band.over)):
         reason = "incompressible"
     elif ratios and low >= rules.chunk_share * len(ratios):
         reason = "repetitive chunks"
