@@ -268,8 +268,8 @@ def train(texts: DataFrame) -> Model:
     path = shared_path(texts.sparkSession, "lm")
     words = written(_count_words(texts), "lm-counts")
     distinct, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    if distinct >= 2**32 - 1:
-        raise ValueError("pair keys hold ids of 32 bits")
+    if distinct >= 2**31 - 1:
+        raise ValueError("pair keys hold two ids below 2**31, so that they stay positive")
     bits = max(0, (distinct // SHARD).bit_length())
     begin = texts.sparkSession.range(1).select(F.lit(int(BEGIN)).alias("h"), F.lit(0).cast("long").alias("c"))
     sizes = _write_words(words.unionByName(begin), path, bits)
