@@ -1,15 +1,18 @@
-"""Scores of an interpolated modified Kneser-Ney model of word pairs.
+"""Scores of an interpolated modified Kneser-Ney n-gram model; the order is a parameter, three words by default.
 
-Counting is done by Spark: words first, which gives every word an id (its rank among all word hashes), then pairs of
-ids. The model is a set of sorted arrays in the shared store: word hashes with their counts, pair keys with their
-counts, and per word the context weight and the continuation probability. Workers map these files into memory, so
-the model may be larger than any worker.
+Counting is done by Spark: words first, which gives every word an id (its rank among all word hashes), then n-grams of
+ids, from the highest order down: each distinct n-gram counts once for the n-gram without its first word, which is the
+continuation count that the lower orders use. The model is a set of sorted arrays in the shared store, which workers map
+into memory, so it may be larger than any worker: word hashes with counts and continuation probabilities, and for each
+order shards of sorted context hashes with the sorted ids and counts of the words that follow.
 
-Pairs are dealt into shards by their first word; the pairs of words that are too frequent for one shard are dealt by
-both. So no shard grows with a single word. Each task adds up its own pairs before the shuffle.
+An n-gram is dealt into a shard by the last word of its context; where that is too frequent for one shard also by the
+word before, and so on, in the end by the predicted word too. So no shard grows with a single word. Each task adds up its
+own n-grams before the shuffle.
 
-Text is lower-cased (A-Z); tokens are words and one end for each text, and the first word's context is a mark for the
-beginning. An unknown word has an equal share of the continuation mass that discounting frees.
+Text is lower-cased (A-Z); tokens are words and one end for each text, after order - 1 marks for the beginning. N-grams
+that begin with such a mark have their plain count in every order, as nothing else can stand before them. An unknown word
+has an equal share of the continuation mass that discounting frees; a context never seen leaves the lower order's value.
 
 Defined results: a null or empty text is just an end; a null id hashes as an empty one; repeated rows count each; where
 nothing is learnt from, all counts are 0 and every token has the same probability; an empty table gives an empty result.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +31,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenq.llm import wordscan as W
-from lumenq.llm.columns import id_schema, shared_path, written
-from lumenq.llm.store import get_array, put_array
+from lumenq.llm.columns import Scratch, id_schema, shared_path
+from lumenq.llm.store import get_array, get_arrays, put_array, put_arrays
 
 #: Hashes of the two marks that are no words.
 BEGIN, END = np.int64(-0x5BD1E995AA55AA55), np.int64(0x2545F4914F6CDD1D)
-#: About so many words of the vocabulary, or pairs, are in a shard; a worker holds one shard at a time while it is built.
+#: About so many words of the vocabulary, or n-grams, are in a shard; a worker holds one shard at a time while it is built.
 SHARD = 2_000_000
-#: Pairs that a task gathers before it hands them on.
+#: N-grams that a task gathers before it hands them on.
 GATHER = 2_000_000
+ORDER = 3
+#: Bytes of text that a worker scores at a time.
+SCORE_BYTES = 1 << 22
+#: Arrays of a shard of n-grams. Contexts are sorted; words[offset[i]:offset[i + 1]] are sorted ids and follow context i.
+#: tokens, ones and twos are, for each context, the sum of its counts and how many counts are 1 and 2.
+FIELDS = {"context": np.uint64, "offset": np.uint32, "word": np.uint32} | {f"{x}.{y}": t for x in ("count", "tokens", "ones", "twos") for y, t in (("at", np.uint32), ("more", np.int64), ("small", np.uint8))}
+ROW = "shard long, n long, blob binary, level int, kind int, id long, a long, b long, c long, d long"
 
 
 @dataclass(frozen=True)
 class Model:
-    """What workers need besides the arrays. first: id of each vocabulary shard's first word."""
+    """What workers need besides the arrays. first: id of each vocabulary shard's first word; discounts: from order 1 up."""
 
     path: str
+    order: int
     vocabulary_bits: int
     first: tuple[int, ...]
-    pair_shards: int
-    frequent: int
+    shards: int
+    hot_shards: int
     tokens: int
     distinct: int
-    pair_discounts: tuple[float, ...]
+    discounts: tuple[tuple[float, ...], ...]
     unknown: float
-    word_discounts: tuple[float, ...]
     continuations: int
 
 
@@ -60,20 +71,25 @@ def held_out(id_col: str):
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7) == 2
 
 
-def sequences(run: W.Run) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of a run with a beginning and an end for each text, and the text of each."""
+def sequences(run: W.Run, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of a run with order - 1 beginnings and an end for each text, and the text of each."""
     w = W.words(run)
     h = W.span_hashes(run, w.start, w.end, lower=True).view(np.int64)
     n = len(run)
-    sizes = np.bincount(w.doc, minlength=n) + 2
-    starts = np.cumsum(sizes) - sizes
-    out = np.empty(int(sizes.sum()), dtype=np.int64)
-    out[starts] = BEGIN
-    out[starts + sizes - 1] = END
-    out[np.arange(len(h)) + 2 * w.doc + 1] = h
+    sizes = np.bincount(w.doc, minlength=n) + order
+    out = np.full(int(sizes.sum()), BEGIN, dtype=np.int64)
+    out[np.cumsum(sizes) - 1] = END
+    out[np.arange(len(h)) + order * w.doc + order - 1] = h
     return out, np.repeat(np.arange(n), sizes)
 
 
+def windows(values: np.ndarray, doc: np.ndarray, order: int) -> np.ndarray:
+    """One row for each place in the n-gram, one column for each token but the beginnings."""
+    n = len(values) - order + 1
+    same = doc[:n] == doc[order - 1 :] if n > 0 else np.zeros(0, dtype=bool)
+    return np.stack([values[j : j + max(n, 0)][same] for j in range(order)])
+
+
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and their summed counts."""
     if not parts:
@@ -106,7 +122,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[tuple[np.n
 
 def _count_words(texts: DataFrame) -> DataFrame:
     def count(batches):
-        for keys, counts in _gathered(batches, lambda run: (s := sequences(run)[0])[s != BEGIN]):
+        for keys, counts in _gathered(batches, lambda run: sequences(run, 1)[0]):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["h", "c"])
 
     return texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -115,10 +131,16 @@ def _count_words(texts: DataFrame) -> DataFrame:
 class Vocabulary:
     """Ids and counts of words, from the mapped shards."""
 
-    def __init__(self, path: str, bits: int, first: tuple[int, ...]):
+    def __init__(self, path: str, bits: int, first: tuple[int, ...], common: bool = True):
         self.bits, self.first = bits, np.array(first, dtype=np.int64)
         self.hashes = [get_array(f"{path}/words/{k}.hash", np.int64) for k in range(1 << bits)]
         self.counts = [get_array(f"{path}/words/{k}.count", np.int64) for k in range(1 << bits)]
+        self.begin = int(self.find(np.array([BEGIN]))[0][0])
+        self.common = get_array(f"{path}/common", np.int64) if common else np.zeros(0, dtype=np.int64)
+
+    def is_common(self, ids: np.ndarray) -> np.ndarray:
+        """Whether these are words too frequent for one shard, or the mark of the beginning."""
+        return np.isin(ids, self.common)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """id (-1: unknown) and count of each hash; equal hashes are looked up once."""
@@ -141,10 +163,24 @@ def shard_of_word(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.int64(64 - bits)) + (1 << (bits - 1)) if bits else np.zeros(len(h), dtype=np.int64)
 
 
-def shard_of_pair(keys: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
-    """By the first word; by both where the first is frequent."""
-    first = (keys >> np.int64(32)).astype(np.uint64)
-    return (W.mix(np.where(frequent, keys.astype(np.uint64), first) + np.uint64(77)) % np.uint64(shards)).astype(np.int64)
+def folded(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return W.mix(h ^ (ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def hashed(ids: np.ndarray) -> np.ndarray:
+    """One hash for each column."""
+    return reduce(folded, ids, np.full(ids.shape[1], 77, dtype=np.uint64))
+
+
+def dealt(grams: np.ndarray, vocabulary: Vocabulary, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each n-gram, and whether its context is spread over shards, as all its words are common."""
+    h = np.full(grams.shape[1], 99, dtype=np.uint64)
+    spread = np.ones(grams.shape[1], dtype=bool)
+    for ids in grams[-2::-1]:
+        h = np.where(spread, folded(h, ids), h)
+        spread &= vocabulary.is_common(ids)
+    h = np.where(spread, folded(h, grams[-1]), h)
+    return (h % np.uint64(shards)).astype(np.int64), spread
 
 
 def _write_words(words: DataFrame, path: str, bits: int) -> list[int]:
@@ -164,7 +200,7 @@ def _write_words(words: DataFrame, path: str, bits: int) -> list[int]:
             put_array(f"{path}/words/{k}.count", c)
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(h)])], names=["shard", "n"])
 
-    sizes = written(words.select(shard.cast("long").alias("s"), "h", "c").repartition(shards, "s").mapInArrow(write, "shard long, n long"), "lm-words").collect()
+    sizes = words.select(shard.cast("long").alias("s"), "h", "c").repartition(shards, "s").mapInArrow(write, "shard long, n long").collect()
     out = {r["shard"]: r["n"] for r in sizes}
     for k in range(shards):
         if k not in out:
@@ -173,82 +209,169 @@ def _write_words(words: DataFrame, path: str, bits: int) -> list[int]:
     return [out.get(k, 0) for k in range(shards)]
 
 
-def pair_keys(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """previous id * 2**32 + id for every token but the beginnings."""
-    same = doc[1:] == doc[:-1]
-    return ((ids[:-1] << np.int64(32)) | (ids[1:] & np.int64(0xFFFFFFFF)))[same]
-
+def _write_common(words: DataFrame, path: str, bits: int, first: tuple[int, ...]) -> None:
+    """Sorted ids of the words with more than SHARD tokens, and of the beginning; there are fewer of them than shards."""
 
-def _count_pairs(texts: DataFrame, path: str, bits: int, first: tuple[int, ...], frequent: int, shards: int) -> DataFrame:
-    """Sorted pairs of each shard in the store; returns, by kind and id, what the discounts need.
-
-    kind 0: id is 1 to 4, a counts the pairs of that count. kind 1: id is a context, a its tokens, b, c, d its pairs of count 1, 2, more.
-    kind 2: id is a word, a counts the different words before it."""
+    def write(batches):
+        h = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in batches])
+        put_array(f"{path}/common", np.sort(Vocabulary(path, bits, first, common=False).find(h)[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([len(h)])], names=["n"])
+
+    words.filter((F.col("c") > SHARD) | (F.col("h") == F.lit(int(BEGIN)))).select("h").repartition(1).mapInArrow(write, "n long").collect()
+
+
+class Gathering:
+    """Adds up n-grams of a task; full() hands them on whenever enough have come together. Columns of grams are n-grams."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self._put(hashed(grams), grams.astype(np.uint32), counts)
+
+    def _put(self, h: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> None:
+        if len(h):
+            order = np.argsort(h)
+            heads = np.flatnonzero(np.diff(h[order], prepend=~h[order[0]]))
+            self.parts.append((h[order[heads]], grams[:, order[heads]], np.add.reduceat(counts[order], heads)))
+            self.size += len(heads)
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            parts, self.parts, self.size = self.parts, [], 0
+            self._put(*(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True)))
+
+    def full(self, last: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.size >= 2 * GATHER or last:
+            self.merge()
+            if self.parts and (last or self.size >= GATHER):
+                (_, grams, counts), self.parts, self.size = self.parts[0], [], 0
+                yield grams, counts
+
+
+def _rows(level: int, kind: int, ids, *columns, shard: int = 0) -> pa.RecordBatch:
+    n = len(ids)
+    values = [np.asarray(x, dtype=np.int64) for x in (ids, *columns, *[np.zeros(n)] * (4 - len(columns)))]
+    same = [pa.array(np.full(n, x, dtype=np.int32)) for x in (level, kind)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *same, *map(pa.array, values)], names=NAMES)
+
+
+NAMES = [x.split()[0] for x in ROW.split(", ")]
+
+
+def _blobs(grams: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary, shards: int) -> Iterator[pa.RecordBatch]:
+    """One row for each shard, with its n-grams sorted by their last two words."""
+    press = zstandard.ZstdCompressor(level=1)
+    tail = (grams[-2].astype(np.int64) << np.int64(32)) | grams[-1]
+    shard, _ = dealt(grams.astype(np.int64), vocabulary, shards)
+    order = np.lexsort((tail, shard))
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(cut)):
+        own = order[cut[k] : cut[k + 1]]
+        most = counts[own].max()
+        raw = np.diff(tail[own], prepend=0).tobytes() + grams[:-2, own].tobytes() + counts[own].astype(np.uint8 if most < 256 else np.int64).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([len(own)]), pa.array([press.compress(raw)], type=pa.binary()), pa.array([len(grams)], type=pa.int32()), pa.array([3], type=pa.int32()), *[pa.nulls(1, pa.int64())] * 5], names=NAMES)
+
+
+def _opened(blob: bytes, n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    tail = np.cumsum(np.frombuffer(raw, dtype=np.int64, count=n))
+    front = np.frombuffer(raw, dtype=np.uint32, offset=8 * n, count=(order - 2) * n).reshape(order - 2, n)
+    at = (8 + 4 * (order - 2)) * n
+    counts = np.frombuffer(raw, dtype=np.uint8 if len(raw) - at == n else np.int64, offset=at).astype(np.int64)
+    return np.concatenate([front, (tail >> np.int64(32)).astype(np.uint32)[None], (tail & np.int64(0xFFFFFFFF)).astype(np.uint32)[None]]), counts
+
+
+def _small(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Values below 255 as bytes, the others beside them with their places."""
+    at = np.flatnonzero(values >= 255)
+    return {f"{name}.small": np.minimum(values, 255), f"{name}.at": at, f"{name}.more": values[at]}
+
+
+def _value(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = arrays[f"{name}.small"][at].astype(np.int64)
+    if len(big := np.flatnonzero(out == 255)):
+        out[big] = arrays[f"{name}.more"][np.searchsorted(arrays[f"{name}.at"], at[big])]
+    return out
+
+
+def _write_shard(uri: str, grams: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]:
+    """Adds up the n-grams of a shard and writes its arrays. Returns distinct n-grams, their counts, and rows of statistics:
+    kind 0, id 1 to 4: a n-grams have that count; kind 1: the part of a context that is spread over shards, by its hash."""
+    order = len(grams)
+    context = hashed(grams[:-1])
+    by = np.lexsort((grams[-1], context))
+    grams, counts, context = grams[:, by], counts[by], context[by]
+    new = np.diff(context, prepend=~context[:1]) != 0
+    heads = np.flatnonzero(new | (np.diff(grams[-1].astype(np.int64), prepend=-1) != 0))
+    counts = np.add.reduceat(counts, heads)
+    grams, context, new = grams[:, heads], context[heads], new[heads]
+    starts = np.flatnonzero(new)
+    tokens, ones, twos, n = (np.add.reduceat(x.astype(np.int64), starts) for x in (counts, counts == 1, counts == 2, np.ones(len(counts))))
+    arrays = {"context": context[starts], "offset": np.append(starts, len(counts)), "word": grams[-1]}
+    for name, values in (("count", counts), ("tokens", tokens), ("ones", ones), ("twos", twos)):
+        arrays |= _small(name, values)
+    put_arrays(uri, arrays, FIELDS)
+    rows = [_rows(order, 0, np.arange(1, 5), [(counts == k).sum() for k in range(1, 5)])]
+    spread = np.logical_and.reduce([vocabulary.is_common(ids) for ids in grams[:-1, starts].astype(np.int64)])
+    if spread.any():
+        rows.append(_rows(order, 1, context[starts][spread].view(np.int64), *(x[spread] for x in (tokens, ones, twos, n - ones - twos))))
+    return grams, counts, rows
+
+
+def _count_grams(texts: DataFrame, path: str, order: int, bits: int, first: tuple[int, ...], shards: int) -> DataFrame:
+    """Writes the shards of all orders from 2; returns rows of statistics by level (order), kind and id.
+
+    kinds 0 and 1: see _write_shard. kind 2, level 1: a different words stand before word id."""
 
     def gather(batches):
-        vocabulary = Vocabulary(path, bits, first)
-        press = zstandard.ZstdCompressor(level=1)
-
-        def keys_of(run: W.Run) -> np.ndarray:
-            h, doc = sequences(run)
-            return pair_keys(vocabulary.find(h)[0], doc)
-
-        for keys, counts in _gathered(batches, keys_of):
-            many = _frequent(keys, vocabulary, frequent)
-            shard = shard_of_pair(keys, many, shards)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            for k in np.flatnonzero(np.diff(cut)):
-                own = order[cut[k] : cut[k + 1]]
-                steps = np.diff(keys[own], prepend=0)
-                blob = press.compress(steps.tobytes() + counts[own].astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([len(own)]), pa.array([blob], type=pa.binary())], names=["shard", "n", "blob"])
-
-    def reduce(batches):
-        press = zstandard.ZstdDecompressor()
-        found: dict[int, list] = {}
-        for b in batches:
-            for k, n, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = press.decompress(blob)
-                parts = found.setdefault(k, [])
-                parts.append((np.cumsum(np.frombuffer(raw, dtype=np.int64, count=n)), np.frombuffer(raw, dtype=np.uint32, offset=8 * n).astype(np.int64)))
-                if len(parts) >= 16:
-                    found[k] = [_added(parts)]
-        for k in list(found):
-            keys, counts = _added(found.pop(k))
-            put_array(f"{path}/pairs/{k}.key", keys)
-            put_array(f"{path}/pairs/{k}.count", counts.astype(np.uint32))
-            yield from _statistics(keys, counts)
-
-    blobs = texts.mapInArrow(gather, "shard long, n long, blob binary").repartition(shards, "shard")
-    return blobs.mapInArrow(reduce, "kind int, id long, a long, b long, c long, d long").groupBy("kind", "id").agg(*[F.sum(x).alias(x) for x in "abcd"])
-
-
-def _frequent(keys: np.ndarray, vocabulary: Vocabulary, frequent: int) -> np.ndarray:
-    """Whether the first word of each pair has more tokens than frequent; the mark of the beginning always counts as frequent."""
-    ids = keys >> np.int64(32)
-    own, back = np.unique(ids, return_inverse=True)
-    k = np.searchsorted(vocabulary.first, own, side="right") - 1
-    counts = np.zeros(len(own), dtype=np.int64)
-    for s in np.unique(k):
-        some = np.flatnonzero((k == s) & (own >= 0))
-        counts[some] = vocabulary.counts[s][own[some] - vocabulary.first[s]]
-    return ((counts > frequent) | (counts == 0))[back]  # only the beginning has no tokens of its own
-
-
-def _statistics(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    def rows(kind: int, ids: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-        columns = [*columns, *[np.zeros(len(ids), dtype=np.int64)] * (4 - len(columns))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, dtype=np.int32)), *[pa.array(np.asarray(x, dtype=np.int64)) for x in (ids, *columns)]], names=["kind", "id", "a", "b", "c", "d"])
-
-    yield rows(0, np.arange(1, 5), np.array([(counts == k).sum() for k in range(1, 5)]))
-    context = keys >> np.int64(32)  # sorted, as keys are
-    if len(context):
-        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        each = [np.add.reduceat(x.astype(np.int64), heads) for x in (counts, counts == 1, counts == 2, counts > 2)]
-        yield rows(1, context[heads], *each)
-    word, n = np.unique(keys & np.int64(0xFFFFFFFF), return_counts=True)
-    yield rows(2, word, n)
+        vocabulary, found = Vocabulary(path, bits, first), Gathering()
+        for batch in batches:
+            for run in W.runs(batch.column(0)):
+                h, doc = sequences(run, order)
+                grams = windows(vocabulary.find(h)[0], doc, order)
+                found.add(grams, np.ones(grams.shape[1], dtype=np.int64))
+                for ready in found.full():
+                    yield from _blobs(*ready, vocabulary, shards)
+        for ready in found.full(last=True):
+            yield from _blobs(*ready, vocabulary, shards)
+
+    def reduced(level: int):
+        def go(batches):
+            vocabulary = Vocabulary(path, bits, first)
+            blobs: dict[int, list[tuple[int, bytes]]] = {}
+            for b in batches:
+                kind = b.column(4).to_numpy(zero_copy_only=False)
+                if (kind < 3).any():
+                    yield b.filter(pa.array(kind < 3))
+                for i in np.flatnonzero(kind == 3).tolist():
+                    blobs.setdefault(b.column(0)[i].as_py(), []).append((b.column(1)[i].as_py(), b.column(2)[i].as_py()))
+            for k in list(blobs):
+                together = Gathering()
+                for n, blob in blobs.pop(k):
+                    grams, counts = _opened(blob, n, level)
+                    together.add(grams, counts)
+                    if together.size >= 2 * GATHER:
+                        together.merge()
+                together.merge()
+                _, grams, counts = together.parts.pop()
+                grams, counts, rows = _write_shard(f"{path}/grams/{level}/{k}", grams, counts, vocabulary)
+                yield from rows
+                if level == 2:
+                    yield _rows(1, 2, *np.unique(grams[1], return_counts=True))
+                else:
+                    lower = Gathering()
+                    lower.add(grams[1:], np.where(grams[1] == vocabulary.begin, counts, 1))
+                    for ready in lower.full(last=True):
+                        yield from _blobs(*ready, vocabulary, shards)
+
+        return go
+
+    out = texts.mapInArrow(gather, ROW)
+    for level in range(order, 1, -1):
+        out = out.repartition(shards, "shard").mapInArrow(reduced(level), ROW)
+    return out.groupBy("level", "kind", "id").agg(*[F.sum(x).alias(x) for x in "abcd"])
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -263,61 +386,95 @@ def _discount_of(counts: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
-def train(texts: DataFrame) -> Model:
-    """texts: one column. Learns from every row."""
+def train(texts: DataFrame, order: int = ORDER) -> Model:
+    """texts: one column. Learns from every row; order: words of an n-gram, 2 or more."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     path = shared_path(texts.sparkSession, "lm")
-    words = written(_count_words(texts), "lm-counts")
+    scratch = Scratch(texts.sparkSession, "lm-scratch")
+    words = scratch.written(_count_words(texts), "counts")
     distinct, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     if distinct >= 2**31 - 1:
-        raise ValueError("pair keys hold two ids below 2**31, so that they stay positive")
+        raise ValueError("n-grams hold ids below 2**31")
     bits = max(0, (distinct // SHARD).bit_length())
     begin = texts.sparkSession.range(1).select(F.lit(int(BEGIN)).alias("h"), F.lit(0).cast("long").alias("c"))
-    sizes = _write_words(words.unionByName(begin), path, bits)
+    words = words.unionByName(begin)
+    sizes = _write_words(words, path, bits)
     first = tuple(np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist())
+    _write_common(words, path, bits, first)
+    scratch.clear("counts")
     shards = max(8, -(-tokens // SHARD))
-    stats = written(_count_pairs(texts, path, bits, first, SHARD, shards), "lm-statistics")
-    low = {r["id"]: r["a"] for r in stats.filter("kind = 0").collect()}  # four rows
-    pair_discounts = _discounts([low.get(k, 0) for k in range(1, 5)])
-    # continuation counts play for words the part that counts play for pairs
+    stats = scratch.written(_count_grams(texts, path, order, bits, first, shards), "statistics")
+    low = {(r["level"], r["id"]): r["a"] for r in stats.filter("kind = 0").collect()}  # four rows for each order
+    # continuation counts play for words the part that counts play for n-grams
     row = stats.filter("kind = 2").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n"), *[F.count(F.when(F.col("a") == k, 1)).alias(f"n{k}") for k in range(1, 5)], F.count(F.when(F.col("a") > 2, 1)).alias("more")).first()
-    word_discounts = _discounts([row[f"n{k}"] for k in range(1, 5)])
-    freed = word_discounts[0] * row["n1"] + word_discounts[1] * row["n2"] + word_discounts[2] * row["more"]
+    discounts = (_discounts([row[f"n{k}"] for k in range(1, 5)]), *(_discounts([low.get((level, k), 0) for k in range(1, 5)]) for level in range(2, order + 1)))
+    freed = discounts[0][0] * row["n1"] + discounts[0][1] * row["n2"] + discounts[0][2] * row["more"]
     unknown = (freed / row["n"] if row["n"] else 1.0) / (distinct + 1)
-    model = Model(path, bits, first, shards, SHARD, tokens, distinct, pair_discounts, unknown, word_discounts, row["n"])
-    _write_contexts(stats, model, sizes)
+    hot = stats.filter("kind = 1")
+    model = Model(path, order, bits, first, shards, 1 + hot.count() // SHARD, tokens, distinct, discounts, unknown, row["n"])
+    _write_spread(hot, model)
+    _write_probabilities(stats.filter("kind = 2"), model, sizes)
+    scratch.clear()
     return model
 
 
-def _write_contexts(stats: DataFrame, m: Model, sizes: list[int]) -> None:
-    """For each word: tokens that follow it, the mass that discounting frees there, and its continuation probability."""
-    edges = F.array(*[F.lit(x) for x in m.first])
-    shard = F.size(F.filter(edges, lambda e: e <= F.col("id"))) - 1 if len(m.first) > 1 else F.lit(0)
-    # empty shards share their first id with the next one; the last of equals holds the words
+def _write_spread(hot: DataFrame, m: Model) -> None:
+    """Sums of the contexts that are spread over shards: sorted hashes, tokens, and how many words follow once, twice, more often."""
+
+    def write(batches):
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        for b in batches:
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
+            for s, level in np.unique(x[:2], axis=1).T.tolist():
+                found.setdefault((s, level), []).append(x[2:, (x[0] == s) & (x[1] == level)])
+        for (s, level), parts in found.items():
+            x = np.concatenate(parts, axis=1)
+            x = x[:, np.argsort(x[0])]
+            for name, values in zip(("hash", "a", "b", "c", "d"), x, strict=True):
+                put_array(f"{m.path}/spread/{level}/{s}.{name}", values)
+        yield pa.RecordBatch.from_arrays([pa.array([len(found)])], names=["n"])
+
+    hot.select(F.pmod("id", F.lit(m.hot_shards)).alias("s"), F.col("level").cast("long"), "id", "a", "b", "c", "d").repartition(m.hot_shards, "s").mapInArrow(write, "n long").collect()
+
+
+def _write_probabilities(words: DataFrame, m: Model, sizes: list[int]) -> None:
+    """The continuation probability of each word, in the order of ids."""
     n = len(m.first)
 
+    def split(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            # empty shards share their first id with the next one; the last of equals holds the words
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(np.array(m.first), ids, side="right") - 1), b.column(0), b.column(1)], names=["s", "id", "a"])
+
     def write(batches):
-        found: dict[int, list[np.ndarray]] = {}
+        found: dict[int, np.ndarray] = {}
         for b in batches:
-            x = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            for k in np.unique(x[0]):
-                found.setdefault(int(k), []).append(np.stack([v[x[0] == k] for v in x[1:]]))
-        for k, parts in found.items():
-            kind, ids, a, b1, b2, b3 = np.concatenate(parts, axis=1)
-            ids = ids - m.first[k]
-            follow, freed, p = np.zeros(sizes[k]), np.ones(sizes[k]), np.full(sizes[k], m.unknown)
-            c, w = kind == 1, kind == 2
-            follow[ids[c]] = a[c]
-            freed[ids[c]] = (m.pair_discounts[0] * b1[c] + m.pair_discounts[1] * b2[c] + m.pair_discounts[2] * b3[c]) / np.maximum(a[c], 1)
-            p[ids[w]] += np.maximum(a[w] - _discount_of(a[w], m.word_discounts), 0) / max(m.continuations, 1)
-            for name, values in (("follow", follow), ("freed", freed), ("p", p)):
-                put_array(f"{m.path}/contexts/{k}.{name}", values)
+            s, ids, a = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for k in np.unique(s).tolist():
+                p = found.setdefault(k, np.full(sizes[k], m.unknown))
+                p[ids[s == k] - m.first[k]] += np.maximum(a[s == k] - _discount_of(a[s == k], m.discounts[0]), 0) / max(m.continuations, 1)
+        for k, p in found.items():
+            put_array(f"{m.path}/words/{k}.p", p)
             yield pa.RecordBatch.from_arrays([pa.array([k])], names=["shard"])
 
-    rows = stats.filter("kind > 0").select(shard.cast("long").alias("s"), F.col("kind").cast("long"), "id", "a", "b", "c", "d").repartition(n, "s")
-    done = {r["shard"] for r in written(rows.mapInArrow(write, "shard long"), "lm-contexts").collect()}
+    done = {r["shard"] for r in words.select("id", "a").mapInArrow(split, "s long, id long, a long").repartition(n, "s").mapInArrow(write, "shard long").collect()}
     for k in set(range(n)) - done:
-        for name, value in (("follow", 0.0), ("freed", 1.0), ("p", m.unknown)):
-            put_array(f"{m.path}/contexts/{k}.{name}", np.full(sizes[k], value))
+        put_array(f"{m.path}/words/{k}.p", np.full(sizes[k], m.unknown))
+
+
+def _within(words: np.ndarray, low: np.ndarray, high: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Place of each word in its own sorted part words[low:high]; -1 where it is not there."""
+    end = high
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) >> 1
+        less = words[middle] < word[open_]
+        low, high = low.copy(), high.copy()
+        low[open_], high[open_] = np.where(less, middle + 1, low[open_]), np.where(less, high[open_], middle)
+    there = low < end
+    there[there] = words[low[there]] == word[there]
+    return np.where(there, low, -1)
 
 
 class Scorer:
@@ -326,59 +483,86 @@ class Scorer:
     def __init__(self, m: Model):
         self.m = m
         self.vocabulary = Vocabulary(m.path, m.vocabulary_bits, m.first)
-        self.contexts = {name: [get_array(f"{m.path}/contexts/{k}.{name}", np.float64) for k in range(len(m.first))] for name in ("follow", "freed", "p")}
-        self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.p = [get_array(f"{m.path}/words/{k}.p", np.float64) for k in range(len(m.first))]
+        self.shards: dict[tuple[int, int], dict[str, np.ndarray] | None] = {}
+        self.spread: dict[tuple[int, int], list[np.ndarray] | None] = {}
+
+    def shard(self, level: int, k: int) -> dict[str, np.ndarray] | None:
+        if (level, k) not in self.shards:
+            try:
+                self.shards[level, k] = get_arrays(f"{self.m.path}/grams/{level}/{k}", FIELDS)
+            except FileNotFoundError:  # no n-gram was dealt there
+                self.shards[level, k] = None
+        return self.shards[level, k]
 
-    def pair_shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self.pairs:
+    def spread_shard(self, level: int, s: int) -> list[np.ndarray] | None:
+        if (level, s) not in self.spread:
             try:
-                self.pairs[k] = get_array(f"{self.m.path}/pairs/{k}.key", np.int64), get_array(f"{self.m.path}/pairs/{k}.count", np.uint32)
-            except FileNotFoundError:  # no pair was dealt there
-                self.pairs[k] = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
-        return self.pairs[k]
+                self.spread[level, s] = [get_array(f"{self.m.path}/spread/{level}/{s}.{x}", np.int64) for x in ("hash", "a", "b", "c", "d")]
+            except FileNotFoundError:
+                self.spread[level, s] = None
+        return self.spread[level, s]
 
-    def of_word(self, name: str, ids: np.ndarray, default: float) -> np.ndarray:
-        out = np.full(len(ids), default)
+    def of_word(self, ids: np.ndarray) -> np.ndarray:
+        out = np.full(len(ids), self.m.unknown)
         k = np.searchsorted(self.vocabulary.first, ids, side="right") - 1
         for s in np.unique(k[ids >= 0]):
             some = (k == s) & (ids >= 0)
-            out[some] = self.contexts[name][s][ids[some] - self.vocabulary.first[s]]
+            out[some] = self.p[s][ids[some] - self.vocabulary.first[s]]
         return out
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=np.int64)
-        shard = shard_of_pair(keys, _frequent(keys, self.vocabulary, self.m.frequent), self.m.pair_shards)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.m.pair_shards + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            own = order[cut[k] : cut[k + 1]]  # rising keys, as keys are sorted
-            there, counts = self.pair_shard(int(k))
-            if len(there):
-                at = np.minimum(np.searchsorted(there, keys[own]), len(there) - 1)
-                hit = there[at] == keys[own]
-                out[own[hit]] = counts[at[hit]]
-        return out
+    def level(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each n-gram its discounted share of its context's tokens, and the share that discounting frees there (1: unseen)."""
+        m, level, n = self.m, len(grams), grams.shape[1]
+        counts = np.zeros(n, dtype=np.int64)
+        about = np.zeros((4, n), dtype=np.int64)  # tokens, and how many words follow once, twice, more often
+        shard, spread = dealt(grams, self.vocabulary, m.shards)
+        context = hashed(grams[:-1])
+        order = np.lexsort((context, shard))
+        cut = np.searchsorted(shard[order], np.arange(m.shards + 1))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            if (arrays := self.shard(level, k)) is None:
+                continue
+            own = order[cut[k] : cut[k + 1]]
+            at = np.minimum(np.searchsorted(arrays["context"], context[own]), len(arrays["context"]) - 1)
+            hit = arrays["context"][at] == context[own]
+            own, at = own[hit], at[hit]
+            low, high = arrays["offset"][at].astype(np.int64), arrays["offset"][at + 1].astype(np.int64)
+            place = _within(arrays["word"], low, high, grams[-1, own])
+            counts[own[place >= 0]] = _value(arrays, "count", place[place >= 0])
+            tokens, ones, twos = (_value(arrays, x, at) for x in ("tokens", "ones", "twos"))
+            about[:, own] = tokens, ones, twos, high - low - ones - twos
+        if spread.any():
+            some = np.flatnonzero(spread)
+            about[:, some] = 0
+            ids = context[some].view(np.int64)
+            for s in np.unique(ids % m.hot_shards).tolist():
+                if (sums := self.spread_shard(level, s)) is not None:
+                    own = np.flatnonzero(ids % m.hot_shards == s)
+                    at = np.minimum(np.searchsorted(sums[0], ids[own]), len(sums[0]) - 1)
+                    hit = sums[0][at] == ids[own]
+                    about[:, some[own[hit]]] = [x[at[hit]] for x in sums[1:]]
+        d = m.discounts[level - 1]
+        tokens = np.maximum(about[0], 1)
+        own = np.maximum(counts - _discount_of(counts, d), 0) / tokens
+        return own, np.where(about[0] > 0, (d[0] * about[1] + d[1] * about[2] + d[2] * about[3]) / tokens, 1.0)
 
     def score(self, run: W.Run) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, the base score and the score of each text."""
-        m = self.m
-        h, doc = sequences(run)
+        m, n = self.m, len(run)
+        h, doc = sequences(run, m.order)
         ids, counts = self.vocabulary.find(h)
-        after = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-        n = len(run)
-        base = np.bincount(doc[after], weights=np.log10((counts[after] + 1) / (m.tokens + m.distinct + 1)), minlength=n)
-        keys, back = np.unique(pair_keys(ids, doc), return_inverse=True)
-        before, word = ids[after - 1], ids[after]
-        known = (before >= 0) & (word >= 0)
-        found = np.zeros(len(keys), dtype=np.int64)
-        real = (keys >= 0) & ((keys & np.int64(0xFFFFFFFF)) != np.int64(0xFFFFFFFF))
-        found[real] = self.pair_counts(keys[real])
-        pairs = np.where(known, found[back], 0)
-        p = self.of_word("p", word, m.unknown)
-        follow, freed = self.of_word("follow", before, 0.0), self.of_word("freed", before, 1.0)
-        own = np.maximum(pairs - _discount_of(pairs, m.pair_discounts), 0) / np.maximum(follow, 1)
-        score = np.bincount(doc[after], weights=np.log10(own + np.where(follow > 0, freed, 1.0) * p), minlength=n)
-        return np.bincount(doc[after], minlength=n), np.bincount(doc[after], weights=counts[after] > 0, minlength=n).astype(np.int64), base, score
+        grams, counts, of = windows(ids, doc, m.order), windows(counts, doc, m.order)[-1], windows(doc, doc, m.order)[-1]
+        base = np.bincount(of, weights=np.log10((counts + 1) / (m.tokens + m.distinct + 1)), minlength=n)
+        p = self.of_word(grams[-1])
+        for level in range(2, m.order + 1):
+            part = grams[-level:]
+            seen = np.flatnonzero((part[:-1] >= 0).all(axis=0))
+            _, one, back = np.unique(hashed(part[:, seen]), return_index=True, return_inverse=True)
+            own, freed = self.level(part[:, seen[one]])
+            p[seen] = own[back] + freed[back] * p[seen]
+        score = np.bincount(of, weights=np.log10(p), minlength=n)
+        return np.bincount(of, minlength=n), np.bincount(of, weights=counts > 0, minlength=n).astype(np.int64), base, score
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,7 +576,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         types = to_arrow_schema(schema)
         scorer = Scorer(model)
         for batch in batches:
-            found = [scorer.score(run) for run in W.runs(batch.column(0))]
+            found = [scorer.score(run) for run in W.runs(batch.column(0), SCORE_BYTES)]
             if found:
                 n, known, base, score = (np.concatenate(x) for x in zip(*found, strict=True))
                 arrays = [batch.column(1).cast(types.field(0).type), batch.column(2), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(score), pa.array(10.0 ** (-score / n))]

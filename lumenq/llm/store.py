@@ -49,3 +49,24 @@ def get_array(uri: str, dtype) -> np.ndarray:
     store, at = fs.FileSystem.from_uri(uri)
     with store.open_input_file(at) as f:
         return np.frombuffer(f.read(), dtype=dtype)
+
+
+def put_arrays(uri: str, arrays: dict[str, np.ndarray], types: dict[str, type]) -> None:
+    """Arrays of the given types in one file, behind their lengths; the largest items first, so that each is aligned."""
+    names = sorted(types, key=lambda x: -np.dtype(types[x]).itemsize)
+    with new_file(uri) as f:
+        f.write(np.array([len(arrays[x]) for x in names], dtype=np.int64).tobytes())
+        for x in names:
+            f.write(memoryview(np.ascontiguousarray(arrays[x], dtype=types[x])).cast("B"))
+
+
+def get_arrays(uri: str, types: dict[str, type]) -> dict[str, np.ndarray]:
+    """The arrays that put_arrays wrote, mapped as get_array does."""
+    names = sorted(types, key=lambda x: -np.dtype(types[x]).itemsize)
+    raw = get_array(uri, np.uint8)
+    at = 8 * len(names)
+    out = {}
+    for x, n in zip(names, raw[:at].view(np.int64).tolist(), strict=True):
+        size = n * np.dtype(types[x]).itemsize
+        out[x], at = raw[at : at + size].view(types[x]), at + size
+    return out

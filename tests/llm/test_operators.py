@@ -218,6 +218,49 @@ def test_language_model(docs, empty):
     assert all(math.isclose(r.score, 0.0) or r.score < 0 for r in lm.scores(docs, nothing).collect())
 
 
+def kneser_ney(learnt, order):
+    """The model by its definition, over lists of tokens: a function from a list to its log10 probability."""
+    counts = {order: collections.Counter(tuple(x[i : i + order]) for x in ([0] * (order - 1) + x for x in learnt) for i in range(len(x) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter()
+        for g, c in counts[k + 1].items():
+            counts[k][g[1:]] += c if k > 1 and g[1] == 0 else 1
+    followers = collections.defaultdict(list)
+    for k in counts:
+        for g, c in counts[k].items():
+            followers[g[:-1]].append(c)
+    discount = {}
+    for k, own in counts.items():
+        n = [sum(c == j for c in own.values()) for j in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
+        raw = [j - (j + 1) * y * n[j] / n[j - 1] if n[j - 1] else 0.5 * j for j in (1, 2, 3)]
+        discount[k] = [0, *[min(max(d, 0.05), j - 0.05) for j, d in enumerate(raw, 1)]]
+    distinct = len({w for x in learnt for w in x})
+
+    def p(g):
+        if not g:
+            return 1 / (distinct + 1)
+        d, after = discount[len(g)], followers.get(g[:-1])
+        if not after:
+            return p(g[1:])
+        c, total = counts[len(g)][g], sum(after)
+        return max(c - d[min(c, 3)], 0) / total + sum(d[min(x, 3)] for x in after) / total * p(g[1:])
+
+    return lambda x: sum(math.log10(p(tuple(([0] * (order - 1) + x)[i : i + order]))) for i in range(len(x)))
+
+
+@pytest.mark.parametrize(("order", "shard"), [(3, 2_000_000), (2, 8), (3, 8), (4, 50)])
+def test_language_model_by_definition(docs, monkeypatch, order, shard):
+    """Small shards: many words are too frequent for one, so contexts are spread over shards, and words have several shards."""
+    monkeypatch.setattr(lm, "SHARD", shard)
+    got = lm.scores(docs, lm.train(docs.filter(~lm.held_out("doc_id")).select("text"), order)).collect()
+    tokens = {i: [*words(t), None] for i, t in enumerate(TEXTS)}
+    plain = kneser_ney([tokens[i] for i in [*range(len(TEXTS)), 3] if zlib.crc32(str(i).encode()) % 7 != 2], order)
+    assert len(got) == len(TEXTS) + 1
+    for r in got:
+        assert math.isclose(r.score, plain(tokens[r.doc_id]), rel_tol=1e-9)
+
+
 def test_urls(spark):
     rules = [urls.Rule(True, "org/"), urls.Rule(False, "bad.com/"), urls.Rule(True, "bad.com/ok")]
     link = '<html><head><link href="{}" rel=canonical></head>'
