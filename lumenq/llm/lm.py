@@ -42,10 +42,12 @@ SHARD = 2_000_000
 GATHER = 2_000_000
 ORDER = 3
 #: Bytes of text that a worker scores at a time.
-SCORE_BYTES = 1 << 22
-#: Arrays of a shard of n-grams. Contexts are sorted; words[offset[i]:offset[i + 1]] are sorted ids and follow context i.
-#: tokens, ones and twos are, for each context, the sum of its counts and how many counts are 1 and 2.
-FIELDS = {"context": np.uint64, "offset": np.uint32, "word": np.uint32} | {f"{x}.{y}": t for x in ("count", "tokens", "ones", "twos") for y, t in (("at", np.uint32), ("more", np.int64), ("small", np.uint8))}
+SCORE_BYTES = 1 << 21
+#: Arrays of a shard of n-grams. Contexts are sorted; n words follow each, with sorted ids, and offset has the first place of
+#: every eighth context's words. Sums of counts, and how many counts are 1 and 2, are kept for contexts with more than FEW words.
+FIELDS = {"context": np.uint64, "offset": np.int64, "word": np.uint32, "large": np.uint32, "tokens": np.int64, "ones": np.uint32, "twos": np.uint32}
+FIELDS |= {f"{x}.{y}": t for x in ("count", "n") for y, t in (("at", np.uint32), ("more", np.int64), ("small", np.uint8))}
+FEW = 8
 ROW = "shard long, n long, blob binary, level int, kind int, id long, a long, b long, c long, d long"
 
 
@@ -250,6 +252,13 @@ class Gathering:
                 yield grams, counts
 
 
+def _together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of several lists and their summed counts."""
+    all_ = Gathering()
+    all_.add(*(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True)))
+    return all_.parts[0][1:]
+
+
 def _rows(level: int, kind: int, ids, *columns, shard: int = 0) -> pa.RecordBatch:
     n = len(ids)
     values = [np.asarray(x, dtype=np.int64) for x in (ids, *columns, *[np.zeros(n)] * (4 - len(columns)))]
@@ -260,9 +269,18 @@ def _rows(level: int, kind: int, ids, *columns, shard: int = 0) -> pa.RecordBatc
 NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes, and so on: high bytes are alike, so they compress better together."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _joined(raw: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
+
+
 def _blobs(grams: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary, shards: int) -> Iterator[pa.RecordBatch]:
     """One row for each shard, with its n-grams sorted by their last two words."""
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     tail = (grams[-2].astype(np.int64) << np.int64(32)) | grams[-1]
     shard, _ = dealt(grams.astype(np.int64), vocabulary, shards)
     order = np.lexsort((tail, shard))
@@ -270,16 +288,16 @@ def _blobs(grams: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary, shards
     for k in np.flatnonzero(np.diff(cut)):
         own = order[cut[k] : cut[k + 1]]
         most = counts[own].max()
-        raw = np.diff(tail[own], prepend=0).tobytes() + grams[:-2, own].tobytes() + counts[own].astype(np.uint8 if most < 256 else np.int64).tobytes()
+        raw = b"".join(map(_planes, (np.diff(tail[own], prepend=0), grams[:-2, own].ravel(), counts[own].astype(np.uint8 if most < 256 else np.int64))))
         yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([len(own)]), pa.array([press.compress(raw)], type=pa.binary()), pa.array([len(grams)], type=pa.int32()), pa.array([3], type=pa.int32()), *[pa.nulls(1, pa.int64())] * 5], names=NAMES)
 
 
 def _opened(blob: bytes, n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    tail = np.cumsum(np.frombuffer(raw, dtype=np.int64, count=n))
-    front = np.frombuffer(raw, dtype=np.uint32, offset=8 * n, count=(order - 2) * n).reshape(order - 2, n)
     at = (8 + 4 * (order - 2)) * n
-    counts = np.frombuffer(raw, dtype=np.uint8 if len(raw) - at == n else np.int64, offset=at).astype(np.int64)
+    tail = np.cumsum(_joined(raw[: 8 * n], np.int64))
+    front = _joined(raw[8 * n : at], np.uint32).reshape(order - 2, n)
+    counts = _joined(raw[at:], np.uint8 if len(raw) - at == n else np.int64).astype(np.int64)
     return np.concatenate([front, (tail >> np.int64(32)).astype(np.uint32)[None], (tail & np.int64(0xFFFFFFFF)).astype(np.uint32)[None]]), counts
 
 
@@ -296,6 +314,29 @@ def _value(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarr
     return out
 
 
+def _places(arrays: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of the words of each context, and the place behind the last."""
+    low = arrays["offset"][at >> 3].copy()
+    for j in range(7):
+        some = np.flatnonzero((at & 7) > j)
+        low[some] += _value(arrays, "n", (at[some] & ~7) + j)
+    return low, low + _value(arrays, "n", at)
+
+
+def _sums(arrays: dict[str, np.ndarray], at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Tokens of each context, and how many words follow it once, twice, more often."""
+    out = np.zeros((4, len(at)), dtype=np.int64)
+    few = high - low <= FEW
+    for j in range(FEW):
+        some = np.flatnonzero(few & (low + j < high))
+        c = _value(arrays, "count", low[some] + j)
+        out[:3, some] += np.stack([c, c == 1, c == 2])
+    large = np.searchsorted(arrays["large"], at[~few])
+    out[:3, ~few] = [arrays[x][large] for x in ("tokens", "ones", "twos")]
+    out[3] = high - low - out[1] - out[2]
+    return out
+
+
 def _write_shard(uri: str, grams: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]:
     """Adds up the n-grams of a shard and writes its arrays. Returns distinct n-grams, their counts, and rows of statistics:
     kind 0, id 1 to 4: a n-grams have that count; kind 1: the part of a context that is spread over shards, by its hash."""
@@ -309,10 +350,9 @@ def _write_shard(uri: str, grams: np.ndarray, counts: np.ndarray, vocabulary: Vo
     grams, context, new = grams[:, heads], context[heads], new[heads]
     starts = np.flatnonzero(new)
     tokens, ones, twos, n = (np.add.reduceat(x.astype(np.int64), starts) for x in (counts, counts == 1, counts == 2, np.ones(len(counts))))
-    arrays = {"context": context[starts], "offset": np.append(starts, len(counts)), "word": grams[-1]}
-    for name, values in (("count", counts), ("tokens", tokens), ("ones", ones), ("twos", twos)):
-        arrays |= _small(name, values)
-    put_arrays(uri, arrays, FIELDS)
+    large = np.flatnonzero(n > FEW)
+    arrays = {"context": context[starts], "offset": starts[::8], "word": grams[-1], "large": large, "tokens": tokens[large], "ones": ones[large], "twos": twos[large]}
+    put_arrays(uri, arrays | _small("count", counts) | _small("n", n), FIELDS)
     rows = [_rows(order, 0, np.arange(1, 5), [(counts == k).sum() for k in range(1, 5)])]
     spread = np.logical_and.reduce([vocabulary.is_common(ids) for ids in grams[:-1, starts].astype(np.int64)])
     if spread.any():
@@ -348,14 +388,15 @@ def _count_grams(texts: DataFrame, path: str, order: int, bits: int, first: tupl
                 for i in np.flatnonzero(kind == 3).tolist():
                     blobs.setdefault(b.column(0)[i].as_py(), []).append((b.column(1)[i].as_py(), b.column(2)[i].as_py()))
             for k in list(blobs):
-                together = Gathering()
+                parts, size = [], 0
                 for n, blob in blobs.pop(k):
-                    grams, counts = _opened(blob, n, level)
-                    together.add(grams, counts)
-                    if together.size >= 2 * GATHER:
-                        together.merge()
-                together.merge()
-                _, grams, counts = together.parts.pop()
+                    parts.append(_opened(blob, n, level))
+                    size += n
+                    if size >= 2 * GATHER:
+                        parts = [_together(parts)]
+                        size = len(parts[0][1])
+                grams, counts = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+                parts.clear()
                 grams, counts, rows = _write_shard(f"{path}/grams/{level}/{k}", grams, counts, vocabulary)
                 yield from rows
                 if level == 2:
@@ -527,11 +568,10 @@ class Scorer:
             at = np.minimum(np.searchsorted(arrays["context"], context[own]), len(arrays["context"]) - 1)
             hit = arrays["context"][at] == context[own]
             own, at = own[hit], at[hit]
-            low, high = arrays["offset"][at].astype(np.int64), arrays["offset"][at + 1].astype(np.int64)
+            low, high = _places(arrays, at)
             place = _within(arrays["word"], low, high, grams[-1, own])
             counts[own[place >= 0]] = _value(arrays, "count", place[place >= 0])
-            tokens, ones, twos = (_value(arrays, x, at) for x in ("tokens", "ones", "twos"))
-            about[:, own] = tokens, ones, twos, high - low - ones - twos
+            about[:, own] = _sums(arrays, at, low, high)
         if spread.any():
             some = np.flatnonzero(spread)
             about[:, some] = 0
