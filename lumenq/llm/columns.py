@@ -52,10 +52,14 @@ def plain_names(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_path(spark, name: str) -> str:
-    """A new folder in the store that driver and executors share: spark.checkpoint.dir, or where it is unset, the warehouse."""
+    """A new folder in the store that driver and executors share: spark.checkpoint.dir, or where it is unset in local mode, the warehouse."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -77,6 +81,12 @@ class Scratch:
         frame.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def fresh(self, frame: DataFrame, name: str) -> DataFrame:
+        """A table of its own each time, for names that come again."""
+        import uuid
+
+        return self.written(frame, f"{name}-{uuid.uuid4().hex[:12]}")
+
     def clear(self, *names: str) -> None:
         """The named tables, or all."""
         jvm = self.spark._jvm

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenq.llm.columns import written
+from lumenq.llm.columns import Scratch
 
 
 def _state(edges: DataFrame):
@@ -19,25 +19,26 @@ def _state(edges: DataFrame):
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
+    low = scratch.fresh(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
     return both.join(low, "u").filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = written(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    low = scratch.fresh(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
     moved = edges.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node and component, the smallest node it is linked with; only nodes of edges between two different nodes."""
+def components(edges: DataFrame, a: str, b: str, scratch: Scratch | None = None) -> DataFrame:
+    """node and component, the smallest node it is linked with; only nodes of edges between two different nodes. The tables of all rounds, also the last, which the result reads, lie in scratch; its owner clears it."""
+    scratch = scratch or Scratch(edges.sparkSession, "components")
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    now = written(now, "edges")
+    now = scratch.fresh(now, "edges")
     state = _state(now)
     while state[0]:
-        now = written(_small_star(written(_large_star(now), "edges")), "edges")
+        now = scratch.fresh(_small_star(scratch.fresh(_large_star(now, scratch), "edges"), scratch), "edges")
         before, state = state, _state(now)
         if state == before:
             break

@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.llm import wordscan as W
-from lumenq.llm.columns import Scratch, in_small_batches, shared_path
+from lumenq.llm.columns import Scratch, in_small_batches
 from lumenq.llm.columns import written as _kept
 from lumenq.llm.graph import components
-from lumenq.llm.store import get_array, put_array
+from lumenq.llm.hashsets import StoredHashes, store_hashes
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,7 @@ def _head(n: int, s: Settings) -> int:
     return k + k // 2 + 8
 
 
-def _frequent(texts: DataFrame, s: Settings, known: Frequent | None = None) -> DataFrame:
+def _frequent(texts: DataFrame, s: Settings, known: StoredHashes | None = None) -> DataFrame:
     """n-grams that more than s.frequent documents have: among the heads of all documents, or with known, among the whole sets of those documents whose heads hold a known one."""
 
     def count(batches):
@@ -104,60 +104,13 @@ def _frequent(texts: DataFrame, s: Settings, known: Frequent | None = None) -> D
     return counts.filter(F.col("n") > s.frequent).select("g")
 
 
-class Frequent:
-    """Sorted hashes in the shared store, by range; workers map them."""
-
-    def __init__(self, path: str, bits: int):
-        self.path, self.bits = path, bits
-        self.parts: dict[int, np.ndarray] = {}
-
-    def part(self, k: int) -> np.ndarray:
-        if k not in self.parts:
-            try:
-                self.parts[k] = get_array(f"{self.path}/{k}", np.int64)
-            except FileNotFoundError:  # none in this range
-                self.parts[k] = np.zeros(0, dtype=np.int64)
-        return self.parts[k]
-
-    def find(self, own: np.ndarray) -> np.ndarray:
-        """own is sorted."""
-        out = np.zeros(len(own), dtype=bool)
-        edges = [0, *np.searchsorted(own, (np.arange(1, 1 << self.bits) - (1 << (self.bits - 1))) << (64 - self.bits)).tolist(), len(own)] if self.bits else [0, len(own)]
-        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            there = self.part(k) if b > a else own[:0]
-            if len(there):
-                at = np.minimum(np.searchsorted(there, own[a:b]), len(there) - 1)
-                out[a:b] = there[at] == own[a:b]
-        return out
-
-
-def _store_frequent(found: DataFrame) -> Frequent:
-    """found is written already."""
-    bits = (found.count() // 2_000_000).bit_length()
-    where = Frequent(shared_path(found.sparkSession, "ngram-last"), bits)
-    shard = F.shiftright("g", 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0)
-
-    def write(batches):
-        parts: dict[int, list] = {}
-        for b in batches:
-            k, g = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for x in np.unique(k):
-                parts.setdefault(int(x), []).append(g[k == x])
-        for k, own in parts.items():
-            put_array(f"{where.path}/{k}", np.sort(np.concatenate(own)))
-            yield pa.RecordBatch.from_arrays([pa.array([k])], names=["k"])
-
-    _kept(found.select(shard.cast("long").alias("k"), "g").repartition(1 << bits, "k").mapInArrow(write, "k long"), "ngram-ranges")
-    return where
-
-
 def _mixed_sums(own: np.ndarray) -> tuple[int, int]:
     """128 bits that tell sets apart."""
     u = own.view(np.uint64)
     return tuple(int(W.mix(u ^ np.uint64(seed)).sum(dtype=np.uint64).astype(np.int64)) for seed in (0x1B873593CC9E2D51, 0x52DCE729E6546B64))
 
 
-def _documents(docs: DataFrame, s: Settings, last: Frequent) -> DataFrame:
+def _documents(docs: DataFrame, s: Settings, last: StoredHashes) -> DataFrame:
     """id, set size n, set fingerprint (f1, f2), share of frequent n-grams, prefix in the global order and its fingerprint (p1, p2)."""
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n long, f1 long, f2 long, common double, prefix array<long>, p1 long, p2 long").fields])
 
@@ -239,8 +192,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     written = scratch.written
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     heads = written(_frequent(docs.select("t"), s), "frequent-heads")
-    every = written(heads.unionByName(_frequent(docs.select("t"), s, _store_frequent(heads))).distinct(), "frequent")
-    described = written(_documents(docs, s, _store_frequent(every)), "documents")
+    every = written(heads.unionByName(_frequent(docs.select("t"), s, store_hashes(heads, scratch, "heads-sorted"))).distinct(), "frequent")
+    described = written(_documents(docs, s, store_hashes(every, scratch, "frequent-sorted")), "documents")
     full = described.filter("n > 0 AND id IS NOT NULL")
     classes = written(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("cls")), "classes")
     reps = full.select(F.col("id").alias("cls"), "n", "f1", "f2", "common", "prefix", "p1", "p2").join(classes, ["cls", "n", "f1", "f2"], "left_semi").dropDuplicates(["cls", "n", "f1", "f2"])
@@ -264,7 +217,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     links = _bounded(written(star, "star"), groups, s).unionByName(members.filter("cls != gid").select(F.col("gid").alias("a"), F.col("cls").alias("b")))
     links = written(_verified(links, docs, s, scratch, "star"), "links")
     scratch.clear("star-sets", "star-pairs", "heads")
-    same = written(components(links, "a", "b"), "same")
+    same = written(components(links, "a", "b", scratch), "same")
     # what is still apart
     split = members.join(same, F.col("cls") == F.col("node"), "left").select("gid", "cls", "n", F.coalesce("component", "cls").alias("c"))
     split = written(split, "split")
@@ -287,7 +240,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     expand = [split.select(F.col("gid").alias(x), F.col("c").alias(f"c{k}"), F.col("cls").alias(f"m{k}")) for k, x in ((1, "a"), (2, "b"))]
     more = pairs.join(expand[0], ["a", "c1"]).join(expand[1], ["b", "c2"]).select(F.col("m1").alias("a"), F.col("m2").alias("b"))
     links = written(links.unionByName(_verified(more, docs, s, scratch, "more")), "all-links")
-    same = written(components(links, "a", "b"), "result")
+    same = written(components(links, "a", "b", scratch), "result")
     named = classes.join(same, F.col("cls") == F.col("node"), "left").select("n", "f1", "f2", "cls", F.coalesce("component", "cls").alias("component"))
     named = written(named, "named")
     rows = described.select("id", "n", "f1", "f2")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from lumenq.llm.columns import written
+from lumenq.llm.columns import Scratch, written
 from lumenq.llm.graph import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -153,7 +153,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     if edges is None:
         same = None
     else:
-        same = written(components(edges, "u", "v"), "aliases")
+        scratch = Scratch(pages.sparkSession, "links")
+        same = written(components(edges, "u", "v", scratch), "aliases")
+        scratch.clear()
     if same is None:
         rows = rows.withColumn("component", F.lit(None).cast("string")).withColumn("blocked", F.lit(None).cast("boolean"))
     else:
