@@ -7,23 +7,34 @@ threshold's share of its words. Order does not matter, so reordered passages are
 
 Words are runs of letters and digits with A-Z lower-cased, so punctuation and case make no difference. Defined
 results: null or empty texts match nothing; items of fewer words than a seed match nothing, as so few words are no
-evidence; equal documents or items each give rows of their own; empty tables give empty results.
+evidence; equal documents or items each give rows of their own, also such with null ids; empty tables give empty
+results; further columns are ignored.
+
+A benchmark of a few MB, which is checked, goes to the workers whole, so documents need no shuffle. A larger one is
+joined, and nothing of it reaches the driver: its seeds lie sorted in the shared store, documents give only their words
+in such seeds, and texts meet items by seed. An item's most frequent seeds that together cover less than the threshold
+make no pair, as a leak must share another one, too; so what thousands of items begin with pairs nothing. Both ways
+give the same rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.llm import wordscan as W
-from lumenq.llm.blocks import BLOCK_BYTES, blocks
-from lumenq.llm.columns import map_batches, plain_names
+from lumenq.llm.columns import Scratch, in_small_batches, map_batches, plain_names, written
+from lumenq.llm.hashsets import StoredHashes, store_hashes
+
+#: Most bytes of ids and texts of a benchmark that goes to the workers whole.
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -41,7 +52,7 @@ class Settings:
 
 
 class Items:
-    """A block of test items: their words, and which items have a seed. Sent to every worker."""
+    """A small benchmark: the words of its items, and which items have a seed. Sent to every worker."""
 
     def __init__(self, rows: list[tuple], seed: int):
         run = W.utf8_runs([t for _, t in rows])
@@ -168,18 +179,119 @@ def _found(column: pa.Array, items: Items, s: Settings) -> Iterator[tuple[int, i
                 yield run.lo + doc, item, [(p, places[t] - int(starts[doc]), n) for p, t, n in laid], covered
 
 
-_TILE = "array<struct<item_start: long, doc_start: long, n_words: long>>"
+_FOUND = "n_item_words long, n_covered long, coverage double, tiles array<struct<item_start: long, doc_start: long, n_words: long>>"
+
+
+def _small(benchmark: DataFrame, item_col: str, text_col: str, s: Settings, most: int) -> list[tuple] | None:
+    """(id, text) of all items that can have a seed, or None where they have more bytes than most."""
+    table = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).filter(F.octet_length("t") >= 2 * s.seed - 1)
+    size = F.octet_length("t").cast("long") + F.coalesce(F.octet_length(F.col("i").cast("string")), F.lit(0))
+    if (table.agg(F.sum(size)).first()[0] or 0) > most:
+        return None
+    return sorted(((r["i"], r["t"]) for r in table.collect()), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings(), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and item that it leaks: coverage and tiles. The item id comes back as item_id."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType), *T.StructType.fromDDL(f"n_item_words long, n_covered long, coverage double, tiles {_TILE}").fields])
-    docs = plain_names(docs, id_col, text_col)
-    out = None
-    for rows in blocks(benchmark, item_col, item_text_col, block_bytes):
-        part = map_batches(docs, _leaks_in(Items(rows, settings.seed), settings, schema), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType), *T.StructType.fromDDL(_FOUND).fields])
+    rows = _small(benchmark, item_col, item_text_col, settings, block_bytes)
+    if rows is not None:
+        return map_batches(plain_names(docs, id_col, text_col), _leaks_in(Items(rows, settings.seed), settings, schema), schema)
+    found = _joined(docs.select(F.col(text_col).alias("t")), benchmark.select(F.col(item_text_col).alias("t")), settings)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_col).alias("f"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.md5(item_text_col).alias("k"))
+    return named.join(found, "f").join(items, "k").select(*schema.names)
+
+
+def _texts_hits(texts: DataFrame, known: StoredHashes, s: Settings) -> DataFrame:
+    """Of texts (f, t) with seeds in known: those seeds g and their places at, the words w in them and their places wat."""
+
+    def find(batches):
+        for batch in batches:
+            for run in W.runs(batch.column(1)):
+                w = W.words(run, W.NOT_ALNUM)
+                h = W.span_hashes(run, w.start, w.end, lower=True).view(np.int64)
+                g, first = W.ngrams(h.view(np.uint64), w.doc, s.seed)
+                own, back = np.unique(g.view(np.int64), return_inverse=True)
+                hit = np.flatnonzero(known.find(own)[back])
+                if not len(hit):
+                    continue
+                doc, begin = w.doc[first[hit]], np.searchsorted(w.doc, np.arange(len(run)))
+                which, lo = np.unique(doc, return_index=True)
+                rows = []
+                for i, a, b in zip(which.tolist(), lo.tolist(), [*lo[1:].tolist(), len(hit)], strict=True):
+                    at = first[hit[a:b]]
+                    places = np.unique(at[:, None] + np.arange(s.seed))
+                    rows.append((g[hit[a:b]].view(np.int64), at - begin[i], h[places], places - begin[i]))
+                if rows:
+                    lists = [pa.array(x, type=pa.list_(pa.int64())) for x in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(run.lo + which)), *lists], names=["f", "g", "at", "w", "wat"])
+
+    return texts.mapInArrow(find, "f string, g array<long>, at array<long>, w array<long>, wat array<long>")
+
+
+def _items(texts: DataFrame, s: Settings) -> DataFrame:
+    """Of texts (k, t): all words iw and all seeds ig, repeats included; texts without a seed give no row."""
+
+    def find(batches):
+        for batch in batches:
+            for run in W.runs(batch.column(1)):
+                w = W.words(run, W.NOT_ALNUM)
+                h = W.span_hashes(run, w.start, w.end, lower=True)
+                g, first = W.ngrams(h, w.doc, s.seed)
+                each = np.arange(len(run) + 1)
+                of_words, of_seeds = np.searchsorted(w.doc, each), np.searchsorted(w.doc[first], each)
+                some = np.flatnonzero(np.diff(of_seeds))
+                lists = [pa.array([x.view(np.int64)[cut[i] : cut[i + 1]] for i in some], type=pa.list_(pa.int64())) for x, cut in ((h, of_words), (g, of_seeds))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(run.lo + some)), *lists], names=["k", "iw", "ig"])
+
+    return texts.mapInArrow(find, "k string, iw array<long>, ig array<long>")
+
+
+@in_small_batches
+def _joined(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
+    """Leaks between different texts t of both: MD5 of the document f and of the item k, and the columns of a leak."""
+    scratch = Scratch(docs.sparkSession, "tiling")
+    kept = scratch.written
+    keyed = [F.md5("t").alias("key"), "t"]
+    items = kept(_items(benchmark.filter("t IS NOT NULL").distinct().select(*keyed), s), "items")
+    seeds = kept(items.select("k", F.size("iw").alias("n"), F.explode("ig").alias("g")).groupBy("k", "n", "g").agg(F.count(F.lit(1)).alias("times")), "seeds")
+    known = store_hashes(kept(seeds.select("g").distinct(), "known"), scratch, "sorted")
+    hits = kept(_texts_hits(docs.filter("t IS NOT NULL").select(*keyed), known, s).dropDuplicates(["f"]), "hits")
+    held = kept(hits.select("f", F.explode(F.array_distinct("g")).alias("g")), "held")
+    # shared seeds bound what tiles cover: an item's most frequent ones that stay below the threshold together find nothing
+    frequent_first = Window.partitionBy("k").orderBy(F.col("often").desc(), "g").rowsBetween(Window.unboundedPreceding, 0)
+    keys = seeds.join(held.groupBy("g").agg(F.count(F.lit(1)).alias("often")), "g").withColumn("upto", s.seed * F.sum("times").over(frequent_first))
+    keys = keys.filter(F.col("upto") >= s.threshold * F.col("n")).select("k", "g")
+    pairs = kept(held.join(keys, "g").select("f", "k").distinct(), "pairs")
+    schema = T.StructType.fromDDL(f"f string, k string, {_FOUND}")
+
+    def judge(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(schema)
+        for batch in batches:
+            rows = []
+            for r, (g, at, w, wat, pattern, ig) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True)):
+                times = Counter(ig)
+                if s.seed * sum(times[x] for x in set(g)) < s.threshold * len(pattern):
+                    continue
+                places = sorted({x for a, y in zip(at, g, strict=True) if y in times for x in range(a, a + s.seed)})
+                word = dict(zip(wat, w, strict=True))
+                laid = tiles(pattern, [word[x] for x in places], places, s.min_tile, s.first_search)
+                covered = sum(n for _, _, n in laid)
+                if covered and covered >= s.threshold * len(pattern):
+                    own = [{"item_start": p, "doc_start": places[t], "n_words": n} for p, t, n in laid]
+                    rows.append((r, len(pattern), covered, covered / len(pattern), own))
+            if rows:
+                which, *rest = zip(*rows, strict=True)
+                names = [batch.column(i).take(pa.array(which)).cast(types.field(i).type) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*names, *[pa.array(x, type=types.field(i + 2).type) for i, x in enumerate(rest)]], schema=types)
+
+    both = pairs.join(hits, "f").join(items, "k").select("f", "k", "g", "at", "w", "wat", "iw", "ig")
+    out = written(both.mapInArrow(judge, schema), "tiling-leaks")
+    scratch.clear()
+    return out
 
 
 def _leaks_in(items: Items, s: Settings, schema: T.StructType):
@@ -204,10 +316,11 @@ def _leaks_in(items: Items, s: Settings, schema: T.StructType):
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings(), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    place = docs.columns.index(text_col)
-    for rows in blocks(benchmark, item_col, item_text_col, block_bytes):
-        docs = map_batches(docs, _clean_of(Items(rows, settings.seed), settings, place), docs.schema)
-    return docs
+    rows = _small(benchmark, item_col, item_text_col, settings, block_bytes)
+    if rows is not None:
+        return map_batches(docs, _clean_of(Items(rows, settings.seed), settings, docs.columns.index(text_col)), docs.schema)
+    found = _joined(docs.select(F.col(text_col).alias("t")), benchmark.select(F.col(item_text_col).alias("t")), settings)
+    return docs.join(found.select(F.col("f").alias("__leaked")).distinct(), F.md5(text_col) == F.col("__leaked"), "left_anti")
 
 
 def _clean_of(items: Items, s: Settings, place: int):

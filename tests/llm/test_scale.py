@@ -184,3 +184,27 @@ def test_clean_prose_is_kept(spark):
     found = compression.scores(docs).filter("NOT base_failed")
     n, rejected = found.count(), found.filter("reason LIKE 'incompressible%'").count()
     assert rejected <= 0.01 * n
+
+
+def test_a_large_benchmark_is_joined(spark):
+    r = np.random.default_rng(12)
+    vocabulary = [f"v{k}" for k in range(40)]
+    start = "which of the following statements"
+    texts = [f"{start} " + " ".join(r.choice(vocabulary, int(n))) for n in r.integers(1, 40, 60)] + ["one two", "", None, "Same, item here is THIS one", start]
+    items = [(i if i % 9 else None, t, "clash", 1) for i, t in enumerate(texts)] + [(500, texts[3], "clash", 2), (3, texts[3], "clash", 3)]
+    docs = [None, "", start, "one two"]
+    for i in range(200):
+        w = (texts[int(r.integers(60))] + " " + texts[int(r.integers(60))]).split()
+        k = int(r.integers(len(w)))
+        w = w[k:] + ["between"] * int(r.integers(2)) + w[:k]  # reordered
+        for at in r.choice(len(w), int(r.integers(0, 4))):
+            w[at] = "edited"
+        docs.append(" ".join(["before"] * int(r.integers(3)) + w).upper() if i % 2 else ", ".join(w))
+    rows = [(i if i % 11 else None, t, "x", "y") for i, t in enumerate(docs)]
+    frame = spark.createDataFrame([*rows, *rows[:40]], "doc_id long, text string, f string, k string")
+    bench = spark.createDataFrame(items, "item_id long, text string, t string, n_words long")
+    small, large = (sorted(map(repr, tiling.leaks(frame, bench, block_bytes=n).collect())) for n in (1 << 20, 0))
+    assert small == large and len(small) > 50
+    kept = [collections.Counter(map(repr, tiling.clean(frame, bench, block_bytes=n).collect())) for n in (1 << 20, 0)]
+    assert kept[0] == kept[1] and 0 < sum(kept[0].values()) < len(rows) + 40
+    assert tiling.leaks(frame.limit(0), bench, block_bytes=0).count() == 0 and tiling.clean(frame, bench.limit(0), block_bytes=-1).count() == len(rows) + 40
