@@ -123,10 +123,31 @@ second AS (
 SELECT id AS doc_id, size, source_size, target, (certain + more1 + more2) * size AS taken, certain + more1 + more2 AS copies FROM second
 """
 
+_JOIN_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (
+  SELECT row, doc_id, list_sort(CASE WHEN len(w) BETWEEN 1 AND 2 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END) AS s FROM split),
+classes AS (
+  SELECT s, min(doc_id) AS cls, len(s) AS n FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+tokens AS (
+  SELECT cls, n, unnest(s) AS g FROM classes),
+links AS (
+  SELECT a.cls AS a, b.cls AS b FROM tokens a JOIN tokens b ON a.g = b.g AND a.cls <> b.cls AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT cls AS node, cls AS c FROM classes UNION SELECT links.b, reached.c FROM reached JOIN links ON links.a = reached.node),
+component AS (
+  SELECT node, min(c) AS c FROM reached GROUP BY node)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(c, sets.doc_id) AS component_id, coalesce(cls, sets.doc_id) AS class_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s AND sets.doc_id IS NOT NULL LEFT JOIN component ON node = cls
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_token_output, op4_decontamination, op5_url_filter, op6_mixing, op7_substring_dedup, op8_ngram_join, op9_language_model, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": _MIX_SQL}
+    return {"op6_mixing": _MIX_SQL, "op8_ngram_join": _JOIN_SQL}
