@@ -4,9 +4,9 @@ A document is the set of its distinct word n-grams, as 64-bit hashes in one glob
 have come last, others by hash. Two sets with a Jaccard index of at least t must share an element among their first
 n - ceil(t n) + 1, their prefixes. So:
 
-1. N-grams that many documents have near the head of their order are counted over all documents, then all n-grams of
-   the documents that have such ones; the frequent ones are put last, or else a common passage would make candidates
-   of all documents that have it.
+1. N-grams that many documents have near the head of their order are counted over all documents, then, in documents
+   that have such ones, those that take their places; the frequent ones are put last, or else a common passage would
+   make candidates of all documents that have it. Which n-grams these are bears on speed alone, never on the links.
 2. Equal sets are one class, named by its smallest document id; classes of equal prefix and size are one group.
 3. Every group is paired with one group of nearly its size under each prefix n-gram, the one with most frequent n-grams
    (a star, so a large family of copies costs one pair each), every class with the first of its group. Pairs that pass the size and
@@ -79,21 +79,33 @@ def _head(n: int, s: Settings) -> int:
 
 
 def _frequent(texts: DataFrame, s: Settings, known: StoredHashes | None = None) -> DataFrame:
-    """n-grams that more than s.frequent documents have: among the heads of all documents, or with known, among the whole sets of those documents whose heads hold a known one."""
+    """n-grams that more than s.frequent documents have in their heads, or, with known, in what takes the place of known ones there.
+
+    A document whose head holds a share p of known n-grams is read 1 / (1 - p) times as far, so that as many others are
+    found as a head has; where all are known it is read whole.
+    """
+
+    def wanted(own: np.ndarray) -> np.ndarray:
+        head = own[: _head(len(own), s)]
+        if known is None or not len(own):
+            return head
+        there = known.find(head)
+        other = len(head) - int(there.sum())
+        if other == len(head):
+            return head[:0]
+        far = own[: -(-len(head) * len(head) // other)] if other else own
+        return far[~known.find(far)]
 
     def count(batches):
         for batch in batches:
             parts, size = [], 0
             for own in _sets(batch.column(0), s.words):
-                if known is None:
-                    parts.append(own[: _head(len(own), s)])
-                elif len(own) and known.find(own)[: _head(len(own), s)].any():
-                    parts.append(own)
-                size += len(parts[-1]) if parts else 0
+                parts.append(wanted(own))
+                size += len(parts[-1])
                 if size > 500_000:
                     yield counted(parts)
                     parts, size = [], 0
-            if parts:
+            if size:
                 yield counted(parts)
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
