@@ -195,6 +195,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row for each document and item that it leaks: coverage and tiles. The item id comes back as item_id."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType), *T.StructType.fromDDL(_FOUND).fields])
     rows = _small(benchmark, item_col, item_text_col, settings, block_bytes)
+    if rows == []:
+        return docs.sparkSession.createDataFrame([], schema)
     if rows is not None:
         return map_batches(plain_names(docs, id_col, text_col), _leaks_in(Items(rows, settings.seed), settings, schema), schema)
     found = _joined(docs.select(F.col(text_col).alias("t")), benchmark.select(F.col(item_text_col).alias("t")), settings)
@@ -317,6 +319,8 @@ def _leaks_in(items: Items, s: Settings, schema: T.StructType):
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings(), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that leak no item, with all their columns."""
     rows = _small(benchmark, item_col, item_text_col, settings, block_bytes)
+    if rows == []:
+        return docs
     if rows is not None:
         return map_batches(docs, _clean_of(Items(rows, settings.seed), settings, docs.columns.index(text_col)), docs.schema)
     found = _joined(docs.select(F.col(text_col).alias("t")), benchmark.select(F.col(item_text_col).alias("t")), settings)
