@@ -10,7 +10,8 @@ import pytest
 pytest.importorskip("lumenq.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from lumenq.llm import compression, graph, mixing, sharding, tiling, urls  # noqa: E402
+from lumenq.llm import compression, graph, mixing, ngramjoin, sharding, tiling, urls  # noqa: E402
+from lumenq.llm.columns import Scratch, written  # noqa: E402
 
 
 def plain_rule(host, path, rules):
@@ -208,3 +209,27 @@ def test_a_large_benchmark_is_joined(spark):
     kept = [collections.Counter(map(repr, tiling.clean(frame, bench, block_bytes=n).collect())) for n in (1 << 20, 0)]
     assert kept[0] == kept[1] and 0 < sum(kept[0].values()) < len(rows) + 40
     assert tiling.leaks(frame.limit(0), bench, block_bytes=0).count() == 0 and tiling.clean(frame, bench.limit(0), block_bytes=-1).count() == len(rows) + 40
+
+
+def test_texts_of_the_mix_and_of_kept_documents_are_not_shuffled(spark):
+    """Not even where no table is broadcast by its size: what is shuffled stays far below the texts."""
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join("%016x" % x for x in r.integers(0, 2**62, 150)), ["a", "b", None][i % 3]) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1], "a") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = written(docs, "test-not-shuffled")
+    size = sum(len(t) for _, t, _ in rows)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before, limit = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        written(mixing.mixed(docs), "test-mixed")
+        after_mix = shuffled()
+        found = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") < 2000, F.col("doc_id")).otherwise(F.col("doc_id") - 2000).alias("first"))
+        scratch = Scratch(spark, "test-gone")
+        kept = ngramjoin._without(docs, "doc_id", found.filter("id != first").select("id"), found.filter("id = first").select("id"), scratch)
+        assert sorted(x.doc_id for x in written(kept, "test-kept").select("doc_id").collect()) == list(range(1500))
+        scratch.clear()
+        assert after_mix - before < size / 4 and shuffled() - after_mix < size / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
