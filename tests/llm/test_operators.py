@@ -261,6 +261,18 @@ def test_language_model_by_definition(docs, monkeypatch, order, shard):
         assert math.isclose(r.score, plain(tokens[r.doc_id]), rel_tol=1e-9)
 
 
+def test_each_context_is_looked_up_once(spark, monkeypatch):
+    """One context with 90 words after it, one of them 300 times, and others with a few; the scores are those of the definition."""
+    texts = [" ".join(f"the w{(7 * i + j) % 90} of" for j in range(12)) for i in range(30)] + ["the w1 " * 300, "the", "x y the w91 z"]
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    seen, places = [], lm._places
+    monkeypatch.setattr(lm, "_places", lambda arrays, at: seen.append(at.tolist()) or places(arrays, at))
+    score = lm.Scorer(model).score(wordscan.utf8_runs(texts))[3]
+    plain = kneser_ney([[*words(t), None] for t in texts], 3)
+    assert all(math.isclose(s, plain([*words(t), None]), rel_tol=1e-9) for s, t in zip(score, texts, strict=True))
+    assert seen and all(len(x) == len(set(x)) for x in seen)
+
+
 def test_urls(spark):
     rules = [urls.Rule(True, "org/"), urls.Rule(False, "bad.com/"), urls.Rule(True, "bad.com/ok")]
     link = '<html><head><link href="{}" rel=canonical></head>'
